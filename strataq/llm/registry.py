@@ -31,6 +31,12 @@ def op3_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest_columns, find_pii
+
+    return digest_columns(find_pii(table(spark, sf_dir, "documents")))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
@@ -39,7 +45,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_iso_media, op9_byte_bpe)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_iso_media, op7_personal_data, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
