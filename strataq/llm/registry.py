@@ -44,9 +44,17 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_templates import drop_recurring_lines
+
+    return drop_recurring_lines(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_iso_media, op7_personal_data, op9_byte_bpe)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_iso_media, op7_personal_data, op9_byte_bpe, op10_line_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import line_templates
+
+    return {"op10_line_templates": line_templates.ORACLE_SQL}
