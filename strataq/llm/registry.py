@@ -31,12 +31,27 @@ def op3_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"))
 
 
+def op6_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .zstd_quality import FOLDS, THRESHOLD, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import digest_columns, find_pii
 
     return digest_columns(find_pii(table(spark, sf_dir, "documents")))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_blocks import extract
+
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages.select(F.struct("page_id", "url").alias("key"), "html"), "key").select("key.page_id", "key.url", "text", "n_chars")
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
@@ -51,7 +66,7 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_iso_media, op7_personal_data, op9_byte_bpe, op10_line_templates)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_iso_media, op6_zstd_quality, op7_personal_data, op8_main_text, op9_byte_bpe, op10_line_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
