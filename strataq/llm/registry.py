@@ -18,6 +18,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .probminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets
 
@@ -66,7 +72,7 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_iso_media, op6_zstd_quality, op7_personal_data, op8_main_text, op9_byte_bpe, op10_line_templates)}
+    return {f.__name__: f for f in (op1_prob_minhash, op2_secret_scan, op3_iso_media, op6_zstd_quality, op7_personal_data, op8_main_text, op9_byte_bpe, op10_line_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
