@@ -46,4 +46,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if state == before:
             break
         before = state
-    return pairs.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("root")), F.struct(F.col("v").alias("node"), F.col("v").alias("root"))))
+    return pairs.select(ends.alias("e")).select("e.*").groupBy("node").agg(F.min("root").alias("root"))

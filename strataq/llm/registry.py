@@ -37,6 +37,18 @@ def op3_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"))
 
 
+def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pfair import mix_places
+
+    return mix_places(table(spark, sf_dir, "documents"))
+
+
+def op5_sorted_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sorted_passes import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .zstd_quality import FOLDS, THRESHOLD, score, train
 
@@ -72,7 +84,7 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_prob_minhash, op2_secret_scan, op3_iso_media, op6_zstd_quality, op7_personal_data, op8_main_text, op9_byte_bpe, op10_line_templates)}
+    return {f.__name__: f for f in (op1_prob_minhash, op2_secret_scan, op3_iso_media, op4_pfair_mix, op5_sorted_passes, op6_zstd_quality, op7_personal_data, op8_main_text, op9_byte_bpe, op10_line_templates)}
 
 
 def oracle_sql() -> dict[str, str]:
