@@ -20,9 +20,11 @@ label). Repeated rows get equal scores.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,9 +127,7 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> D
     """The rows of ``docs`` whose score reaches THRESHOLD."""
 
     @F.pandas_udf(T.DoubleType())
-    def scores(parts):
-        import pandas as pd
-
+    def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         f = None
         for texts in parts:
             f = f or model.scorer()
