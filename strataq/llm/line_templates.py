@@ -10,8 +10,9 @@ field. A template is recurring if it is in at least two different texts. Lines
 of recurring templates are dropped in all documents but the first (the smallest
 id) that has them, so nothing leaves the corpus altogether.
 
-Only hashes travel before the last join: 128 bits for a template and 64 for
-each part. The count per template is aggregated before the shuffle, so a line
+Only hashes travel before the last join: 128 bits for a template and 32 for
+each part. The parsed lines and their aggregate are cut with checkpoint(), so
+texts are parsed once. The count per template is aggregated before the shuffle, so a line
 that a third of all documents share costs one row a task; the joins that follow
 have one row per key on one side and can be split by the optimizer.
 
@@ -28,47 +29,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import cut
+
 MIN_TOKENS, LEAD, PARTS, MERGE_TOKENS = 3, 3, 4, 12
-TEMPLATE = ["__n", "__lead", "__h1", "__h2", *(f"__p{k}" for k in range(PARTS))]
+#: The hashes of the leading tokens and of the line name a template; two longs hold the hashes of its parts.
+NAME = ["__lead", "__line"]
+TEMPLATE = ["__n", *NAME, "__p01", "__p23"]
 
 
-def masked(line: Column) -> Column:
-    """Single spaces, no spaces at the ends, tokens with a digit as <*>."""
-    flat = F.btrim(F.regexp_replace(line, "[ \t\r]+", " "))
-    return F.regexp_replace(flat, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")
+def masked(text: Column) -> Column:
+    """Single spaces for white space inside lines, tokens with a digit as <*>."""
+    flat = F.when(text.rlike("[\t\r]|  "), F.regexp_replace(text, "[ \t\r]+", " ")).otherwise(text)
+    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, "(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>")).otherwise(flat)
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per line that can be a template: id, hash of the text, line number and the hashes of TEMPLATE."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text"), F.posexplode(F.split(text_col, "\n", -1)).alias("__at", "__line"))
-    rows = rows.withColumn("__line", masked(F.col("__line"))).withColumn("__tokens", F.split("__line", " ", -1)).withColumn("__n", F.size("__tokens"))
-    rest = F.col("__n") - LEAD
-    edge = lambda k: F.floor(rest * k / PARTS).cast("int")
-    part = lambda k: F.xxhash64(F.slice("__tokens", edge(k) + LEAD + 1, edge(k + 1) - edge(k)))
-    return rows.where(F.col("__n") >= MIN_TOKENS).select(
-        "__id", "__text", "__at", "__n", F.xxhash64(F.slice("__tokens", 1, LEAD)).alias("__lead"), F.xxhash64("__line").alias("__h1"), F.xxhash64(F.lit("second"), "__line").alias("__h2"), *(F.when(F.col("__n") >= MERGE_TOKENS, part(k)).otherwise(0).alias(f"__p{k}") for k in range(PARTS))
-    )
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text"), masked(F.col(text_col)).alias("__flat"))
+    rows = rows.select("__id", "__text", F.posexplode(F.split("__flat", "\n", -1)).alias("__at", "__raw")).withColumn("__raw", F.btrim("__raw"))
+    rows = rows.withColumn("__n", F.length("__raw") - F.length(F.replace(F.col("__raw"), F.lit(" "), F.lit(""))) + 1).where(F.col("__n") >= MIN_TOKENS)
+    edge = lambda k: F.floor((F.col("__n") - LEAD) * k / PARTS).cast("int") + LEAD
+    for k in range(PARTS + 1):
+        rows = rows.withColumn(f"__to{k}", F.substring_index("__raw", " ", LEAD) if k == 0 else F.col("__raw") if k == PARTS else F.call_function("substring_index", F.col("__raw"), F.lit(" "), edge(k)))
+    part = lambda k: F.hash(F.substr(f"__to{k + 1}", F.length(f"__to{k}") + 2)).cast("long")
+    pair = lambda k: F.when(F.col("__n") >= MERGE_TOKENS, F.shiftleft(part(k), 32).bitwiseOR(part(k + 1).bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(F.lit(0))
+    return rows.select("__id", "__text", "__at", "__n", F.xxhash64("__to0").alias("__lead"), F.xxhash64("__raw").alias("__line"), pair(0).alias("__p01"), pair(2).alias("__p23"))
 
 
 def recurring(lines: DataFrame) -> DataFrame:
-    """__h1, __h2 and __first (the id that keeps its lines) of the templates in recurring clusters."""
-    each = lines.groupBy(*TEMPLATE).agg(F.min("__text").alias("__low"), F.max("__text").alias("__high"), F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__count"), F.min("__at").alias("__at"))
-    rank = F.struct(F.col("__count"), F.col("__h1"), F.col("__h2"), *(F.col(f"__p{k}") for k in range(PARTS)))
-    order = F.struct((-F.col("__count")).alias("c"), F.col("__first").alias("i"), F.col("__at").alias("a"), F.col("__h1").alias("h"))
-    leaves = each.where(F.col("__n") >= MERGE_TOKENS).groupBy("__n", "__lead").agg(F.min_by(rank, order).alias("__top"), F.count(F.lit(1)).alias("__templates")).where("__templates > 1").drop("__templates")
-    agree = sum((F.col(f"__p{k}") == F.col(f"__top.__p{k}")).cast("int") for k in range(PARTS))
-    joins = F.col("__top").isNotNull() & (agree >= PARTS - 1)
-    merged = each.join(leaves, ["__n", "__lead"], "left").select(
-        "__h1", "__h2", F.when(joins, F.col("__top.__h1")).otherwise(F.col("__h1")).alias("__c1"), F.when(joins, F.col("__top.__h2")).otherwise(F.col("__h2")).alias("__c2"), "__low", "__high", "__first"
-    )
-    clusters = merged.groupBy("__c1", "__c2").agg(F.min("__low").alias("__low"), F.max("__high").alias("__high"), F.min("__first").alias("__first")).where("__low <> __high").select("__c1", "__c2", "__first")
-    return merged.drop("__first", "__low", "__high").join(clusters, ["__c1", "__c2"]).select("__h1", "__h2", "__first")
+    """__lead, __line and __first (the id that keeps its lines) of the templates in recurring clusters."""
+    each = cut(lines.groupBy(*TEMPLATE).agg(F.min("__text").alias("__low"), F.max("__text").alias("__high"), F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__count"), F.min("__at").alias("__at")))
+    short = each.where((F.col("__n") < MERGE_TOKENS) & (F.col("__low") != F.col("__high"))).select(*NAME, "__first")
+    long = each.where(F.col("__n") >= MERGE_TOKENS)
+    # Leaves that hold one text only cannot recur, whatever merges in them.
+    live = long.groupBy("__n", "__lead").agg(F.min("__low").alias("__low"), F.max("__high").alias("__high")).where("__low <> __high").select("__n", "__lead")
+    long = cut(long.join(live, ["__n", "__lead"], "left_semi"))
+    rank = F.struct("__line", "__p01", "__p23")
+    order = F.struct((-F.col("__count")).alias("c"), F.col("__first").alias("i"), F.col("__at").alias("a"), F.col("__line").alias("h"))
+    tops = long.groupBy("__n", "__lead").agg(F.min_by(rank, order).alias("__top"))
+    upper, lower = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    agree = sum((f(c) == f(f"__top.{c}")).cast("int") for c in ("__p01", "__p23") for f in (upper, lower))
+    merged = cut(long.join(tops, ["__n", "__lead"]).select(*NAME, F.when(agree >= PARTS - 1, F.col("__top.__line")).otherwise(F.col("__line")).alias("__c"), "__low", "__high", "__first"))
+    clusters = merged.groupBy("__lead", "__c").agg(F.min("__low").alias("__low"), F.max("__high").alias("__high"), F.min("__first").alias("__first")).where("__low <> __high").select("__lead", "__c", "__first")
+    return short.unionByName(merged.select(*NAME, "__c").join(clusters, ["__lead", "__c"]).select(*NAME, "__first"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """__id, __text (hash) and __gone, the sorted numbers of the lines that go."""
-    lines = lines_of(docs, id_col, text_col)
-    gone = lines.select("__id", "__text", "__at", "__h1", "__h2").join(recurring(lines), ["__h1", "__h2"]).where(F.col("__id") != F.col("__first"))
+    lines = cut(lines_of(docs, id_col, text_col))
+    gone = lines.select("__id", "__text", "__at", *NAME).join(recurring(lines), NAME).where(F.col("__id") != F.col("__first"))
     return gone.groupBy("__id", "__text").agg(F.array_sort(F.collect_set("__at")).alias("__gone"))
 
 
