@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import encode
 from .operators import commit, index, metrics, ordered, profile, search, security, templates
 from .plans import archive, detect
-from .sources import binary, formats
+from .sources import binary, formats, generate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -610,3 +610,40 @@ def audit_chain(spark, d):
 @query("SELECT event_type AS chain, true AS ok, count(*) AS n FROM events GROUP BY 1")
 def audit_verify(spark, d):
     return security.verify_chain(security.chain_rows(table(spark, d, "events"), "event_type", "event_id", "props"))
+
+
+# --- generated inputs ------------------------------------------------------------------
+
+
+@query("SELECT level, region, count(*) AS n, count(DISTINCT service) AS n_services FROM (SELECT CASE WHEN i % 100 = 0 THEN 'ERROR' ELSE 'INFO' END AS level, CASE WHEN (i // 10) % 2 = 0 THEN 'eu' ELSE 'us' END AS region, i % 3 AS service FROM range(10000) t(i)) GROUP BY 1, 2")
+def generated_logs(spark, d):
+    return generate.agent_logs(spark, 10_000).groupBy("level", "region").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("service").alias("n_services"))
+
+
+@query("SELECT status, currency, count(*) AS n, round(sum((100 + i * 7919 % 99900) / 100), 2) AS amount FROM (SELECT i, CASE WHEN i % 20 = 0 THEN 'FAILED' ELSE 'OK' END AS status, CASE WHEN i % 2 = 0 THEN 'USD' ELSE 'EUR' END AS currency FROM range(10000) t(i)) GROUP BY 1, 2")
+def generated_payments(spark, d):
+    return generate.payments(spark, 10_000).groupBy("status", "currency").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 2).alias("amount"))
+
+
+@query("SELECT CAST(CASE i % 4 WHEN 2 THEN 304 WHEN 3 THEN 500 ELSE 200 END AS BIGINT) AS status, count(*) AS n, sum(100 + i * 7919 % 4901) AS bytes FROM range(10000) t(i) GROUP BY 1")
+def generated_access_log(spark, d):
+    rows = formats.parse(generate.access_log(spark, 10_000), "line", "nginx")
+    return rows.groupBy(F.col("status").cast("long").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+
+
+@query("SELECT CASE WHEN i % 13 = 0 THEN 'REJECT' ELSE 'ACCEPT' END AS action, count(*) AS n, sum(i % 100 + 1) AS packets FROM range(10000) t(i) GROUP BY 1")
+def generated_flow_log(spark, d):
+    rows = formats.parse(generate.flow_log(spark, 10_000), "line", "vpcflow")
+    return rows.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("packets").cast("long")).alias("packets"))
+
+
+@query("SELECT i AS row_id FROM range(100, 150) t(i)")
+def planted_token_grep(spark, d):
+    """One column of sixteen is read; the planted rows are found, chance hits at that place apart from them do not occur."""
+    return search.where(generate.token_rows(spark, 10_000).select("row_id", "t3"), "t3=1234").where("row_id between 100 and 149").select("row_id")
+
+
+@query("SELECT least(s, r) AS low, greatest(s, r) AS high, count(*) AS n FROM (SELECT 'agent-' || (i % 7) AS s, 'agent-' || (i * 3 % 7) AS r FROM range(5000) t(i)) WHERE s <> r GROUP BY 1, 2")
+def generated_receipts(spark, d):
+    stripped = generate.receipts(spark, 5_000).drop("signature", "prompt_hash")
+    return metrics.netting(stripped, "sender", "receiver", "amount").select("low", "high", "n")

@@ -346,3 +346,54 @@ def test_audit_chain_detects_changes(spark):
     rows = security.chain_rows(spark.createDataFrame([("x", i, f"p{i}") for i in range(5)], "c string, s long, p string"), "c", "s", "p")
     assert security.verify_chain(rows).first()["ok"]
     assert not security.verify_chain(rows.withColumn("payload", F.when(F.col("seq") == 2, "changed").otherwise(F.col("payload")))).first()["ok"]
+
+
+# --- public functions, orchestration, generators ---
+
+
+def test_public_functions(spark, tmp_path):
+    from strataq import api
+
+    path = str(tmp_path / "p")
+    assert api.compress_records(spark, [{"a": 1, "m": "x"}, {"a": 2.5, "n": [1, {"k": None}]}], path)["rows"] == 2
+    assert dict(api.decompress(spark, path).dtypes) == {"row_id": "bigint", "a": "double", "m": "string", "n": "string"}
+    assert api.search(spark, path, "x").count() == 1
+    (tmp_path / "in.json").write_text('{"a": 1}\n{bad\n\n{"a": 2}\n')
+    assert api.compress(spark, str(tmp_path / "in.json"), str(tmp_path / "q"))["malformed"] == 1
+    c = api.commit_records(RECORDS)
+    assert api.verify_inclusion(c.root, api.inclusion_proof(c, "src"))
+    assert api.secure_audit_log([("t", "seal", {}), ("u", "open", {})]).verify()
+    assert api.column_type([2**70, 1]).typeName() == "string" and api.column_type([1, "a"]).typeName() == "string"
+
+
+def test_encrypted_records(spark):
+    from strataq import api
+
+    envelope = api.compress_encrypted(spark, RECORDS, "s", "t")
+    records, meta = api.decompress_encrypted(spark, envelope, "s", "t", return_meta=True)
+    assert records == [{k: v for k, v in r.items() if v is not None} for r in RECORDS] and meta["root"] == commit.commit_records(RECORDS).root
+    with pytest.raises(PermissionError):
+        api.decompress_encrypted(spark, envelope, "s", "u")
+
+
+def test_orchestration(spark, tmp_path):
+    from strataq.plans.orchestrate import Orchestrator, checks, report
+
+    lines = ['1.1.1.1 - - [t] "GET / nginx" 200 5', "broken", '2.2.2.2 - - [t] "GET /b" 404 -']
+    (tmp_path / "log.txt").write_text("\n".join(lines) + "\n")
+    o = Orchestrator(spark)
+    made = o.compress(str(tmp_path / "log.txt"), str(tmp_path / "a"))
+    assert made["format"] == "nginx" and made["rows"] == 3
+    o.decompress(str(tmp_path / "a"), str(tmp_path / "out"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == lines
+    assert o.chain.verify() and len(o.operations) == 2
+    o.dump(str(tmp_path / "ops"))
+    found = checks(spark, str(tmp_path / "a"), archive.read(spark, str(tmp_path / "a")))
+    assert all(r["passed"] for r in found.collect()) and "identity" in report(found, str(tmp_path / "r.md"))
+
+
+def test_generators(spark):
+    from strataq.sources.generate import GENERATORS
+
+    for make in GENERATORS.values():
+        assert make(spark, 50).count() == 50
