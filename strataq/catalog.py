@@ -254,9 +254,9 @@ def field_split(spark, d):
     return table(spark, d, "customer").drop("c_acctbal", "c_nationkey")
 
 
-@query("SELECT vec_id, CAST(pos - 1 AS INT) AS place, round(CAST(embedding[pos] AS DOUBLE), 6) AS item FROM (SELECT vec_id, embedding, unnest(range(1, 9)) AS pos FROM embeddings)")
+@query("SELECT vec_id, CAST(pos - 1 AS INT) AS place, round(CAST(embedding[pos] AS DOUBLE), 6) AS item FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS pos FROM embeddings)")
 def token_sequences(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.coalesce(F.get("embedding", k).cast("double"), F.lit(-1.0)))).alias("place", "item"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.coalesce(F.get("embedding", k).cast("double"), F.lit(-1.0)))).alias("place", "item"))
     return rows.withColumn("item", F.round("item", 6))
 
 
@@ -593,7 +593,20 @@ def roundtrip_verify(spark, d):
     return archive.differences(events, back)
 
 
-@query()
+def _prefixed(x: str) -> str:
+    """Length (seven bits a byte, up to two bytes) and bytes of a blob."""
+    n = f"octet_length({x})"
+    return f"CASE WHEN {n} < 128 THEN unhex(printf('%02x', {n})) ELSE unhex(printf('%02x%02x', ({n} & 127) | 128, {n} >> 7)) END || {x}"
+
+
+def _leaf(column: str, text: bool) -> str:
+    cell = lambda c: f"'\"' || {c} || '\"'" if text else f"CAST({c} AS VARCHAR)"
+    zone = f"""'{{"count":' || count(*) || ',"max":' || {cell(f"max({column})")} || ',"min":' || {cell(f"min({column})")} || ',"nulls":0,"type":"{"str" if text else "int"}"}}'"""
+    parts = ", ".join(f"encode({x}) AS {n}" for n, x in (("a", f"'{column}'"), ("b", zone), ("c", f"'[' || string_agg({cell(column)}, ',' ORDER BY n_nationkey) || ']'")))
+    return f"SELECT '{column}' AS name, sha256(unhex('00') || {_prefixed('a')} || {_prefixed('b')} || {_prefixed('c')}) AS leaf FROM (SELECT {parts} FROM nation)"
+
+
+@query(" UNION ALL ".join(_leaf(c, t) for c, t in (("n_nationkey", False), ("n_name", True), ("n_regionkey", False))))
 def merkle_leaves(spark, d):
     nation = table(spark, d, "nation").withColumn("row_id", F.col("n_nationkey"))
     return commit.column_leaves(nation, "row_id")
@@ -639,8 +652,8 @@ def generated_flow_log(spark, d):
 
 @query("SELECT i AS row_id FROM range(100, 150) t(i)")
 def planted_token_grep(spark, d):
-    """One column of sixteen is read; the planted rows are found, chance hits at that place apart from them do not occur."""
-    return search.where(generate.token_rows(spark, 10_000).select("row_id", "t3"), "t3=1234").where("row_id between 100 and 149").select("row_id")
+    """One column of sixteen is read; the planted id is outside the range of the others, so exactly the planted rows are found."""
+    return search.where(generate.token_rows(spark, 10_000, planted=40_000).select("row_id", "t3"), "t3=40000").select("row_id")
 
 
 @query("SELECT least(s, r) AS low, greatest(s, r) AS high, count(*) AS n FROM (SELECT 'agent-' || (i % 7) AS s, 'agent-' || (i * 3 % 7) AS r FROM range(5000) t(i)) WHERE s <> r GROUP BY 1, 2")
