@@ -453,6 +453,21 @@ def bloom_blocks(spark, d):
     return index.bloom_index(table(spark, d, "documents"), "doc_id", "text", 50).select("block_id", F.size("bits").alias("bits_set"))
 
 
+@query("SELECT count(DISTINCT doc_id // 50) AS holding, 0 AS missed FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[0-9A-Za-z_]{4,}'), 'license')")
+def bloom_prune(spark, d):
+    """Blocks that hold the token, and how many of them the Bloom filters would have skipped."""
+    docs = table(spark, d, "documents")
+    found = index.bloom_candidates(index.bloom_index(docs, "doc_id", "text", 50), "license").withColumn("candidate", F.lit(1))
+    holding = index.token_index(docs, "doc_id", "text", 50).where("token = 'license'").select("block_id")
+    return holding.join(found, "block_id", "left").agg(F.count(F.lit(1)).alias("holding"), F.count(F.when(F.col("candidate").isNull(), 1)).cast("int").alias("missed"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, CAST((length(text) - length(replace(text, 'License', ''))) / 7 AS BIGINT) AS hits FROM documents")
+def block_grep(spark, d):
+    files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return binary.block_grep(files, "License").groupBy("path").agg(F.sum("hits").alias("hits"))
+
+
 # --- statistics -----------------------------------------------------------------
 
 

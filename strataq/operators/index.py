@@ -72,8 +72,20 @@ def bloom_size(n: int, rate: float = 0.01) -> tuple[int, int]:
     return bits, max(1, int(bits / max(n, 10) * math.log(2)))
 
 
+def probe(token: Column, k: int, bits: int) -> Column:
+    """Place of probe ``k`` by double hashing."""
+    return F.pmod(F.pmod(F.xxhash64(token), F.lit(bits)) + k * F.pmod(F.xxhash64(F.lit("second"), token), F.lit(bits)), F.lit(bits)).cast("int")
+
+
 def bloom_index(df: DataFrame, key: str, text: str, block_size: int, bits: int = 1 << 15, probes: int = 7) -> DataFrame:
-    """block_id and the sorted places of the set bits: a Bloom filter of the tokens of each block, by double hashing."""
+    """block_id and the sorted places of the set bits: a Bloom filter of the tokens of each block."""
     index = token_index(df, key, text, block_size)
-    place = lambda k: F.pmod(F.pmod(F.xxhash64("token"), F.lit(bits)) + k * F.pmod(F.xxhash64(F.lit("second"), "token"), F.lit(bits)), F.lit(bits)).cast("int")
-    return index.select("block_id", F.explode(F.array(*(place(k) for k in range(probes)))).alias("bit")).groupBy("block_id").agg(F.array_sort(F.collect_set("bit")).alias("bits"))
+    return index.select("block_id", F.explode(F.array(*(probe(F.col("token"), k, bits) for k in range(probes)))).alias("bit")).groupBy("block_id").agg(F.array_sort(F.collect_set("bit")).alias("bits"))
+
+
+def bloom_candidates(blooms: DataFrame, token: str, bits: int = 1 << 15, probes: int = 7) -> DataFrame:
+    """block_id of the blocks that may hold the whole token; never misses one that does."""
+    test = F.lit(True)
+    for k in range(probes):
+        test = test & F.array_contains("bits", probe(F.lit(token.lower()), k, bits))
+    return blooms.where(test).select("block_id")

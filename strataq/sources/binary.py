@@ -33,7 +33,7 @@ def flows(df: DataFrame, path: str = "path", content: str = "content") -> DataFr
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, data in zip(part["path"], part["content"], strict=True):
-                rows, packet, _ = flow_records(bytes(data))
+                rows, packet, _ = flow_records(bytes(data or b""))
                 yield pd.DataFrame({"path": name, "packet": packet, "record": np.arange(len(rows)), **{c: rows[c].astype(np.int64) for c in ("src", "dst", "packets", "bytes")}, **{c: rows[c].astype(np.int32) for c in ("src_port", "dst_port", "protocol")}})
 
     return df.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(run, FLOW_SCHEMA)
@@ -55,7 +55,7 @@ def block_tokens(df: DataFrame, path: str = "path", content: str = "content", bl
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, data in zip(part["path"], part["content"], strict=True):
-                data = bytes(data)
+                data = bytes(data or b"")
                 for at in range(0, len(data), block):
                     piece = data[at : at + block]
                     rows = [(True, m[0].decode("utf-16-le")) for m in WIDE.finditer(piece)] + [(False, m[0].decode()) for m in NARROW.finditer(piece)]
@@ -71,7 +71,7 @@ def universal_blocks(df: DataFrame, path: str = "path", content: str = "content"
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for name, data in zip(part["path"], part["content"], strict=True):
-                data, at, k = bytes(data), 0, 0
+                data, at, k = bytes(data or b""), 0, 0
                 while at < len(data):
                     end = min(len(data), at + block)
                     end = end if end == len(data) else (data.find(b"\n", end) + 1 or len(data))
@@ -80,3 +80,18 @@ def universal_blocks(df: DataFrame, path: str = "path", content: str = "content"
                     at, k = end, k + 1
 
     return df.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(run, "path string, block_id long, token string")
+
+
+def block_grep(df: DataFrame, query: str, path: str = "path", content: str = "content", block: int = 2 << 20) -> DataFrame:
+    """path, block_id, hits: occurrences of the query as UTF-8 and as UTF-16LE. A block reads on past its end by the length of the query, so no occurrence is missed or counted twice."""
+    needles = [query.encode(), query.encode("utf-16-le")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name, data in zip(part["path"], part["content"], strict=True):
+                data = bytes(data or b"")
+                starts = [m.start() for n in needles if n for m in re.finditer(re.escape(n), data)]
+                hits = np.bincount(np.array(starts, np.int64) // block, minlength=-(-len(data) // block))
+                yield pd.DataFrame({"path": name, "block_id": np.arange(len(hits)), "hits": hits.astype(np.int64)})
+
+    return df.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(run, "path string, block_id long, hits long")
