@@ -141,7 +141,7 @@ def centres(members: DataFrame) -> DataFrame:
                 np.add.at(total, which, matrix(rows.column("vec")))
                 yield pa.RecordBatch.from_arrays([pa.array(roots.tolist(), arrow[0].type), pa.array(total.tolist(), arrow[1].type)], schema=arrow)
 
-    def whole(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         total = np.stack(rows["sum"].to_numpy()).sum(0)
         length = np.linalg.norm(total)
         return pd.DataFrame({"root": [key[0]], "centre": [(total / length if length > 0 else total).tolist()]})
@@ -185,7 +185,6 @@ def counted(loose: DataFrame, cosine: float) -> DataFrame:
         copies, own = rows["copies"].to_numpy(np.int64), rows["own"].to_numpy()
         linked = np.zeros(len(x), np.int64)
         for k in range(0, len(x), ROWS_AT_ONCE):
-            # einsum over pairs near the threshold keeps the same rounding as a plain dot product
             hit = x[k : k + ROWS_AT_ONCE] @ x.T >= cosine
             hit[np.arange(len(hit)), np.arange(k, k + len(hit))] = False
             if i != j:
@@ -193,6 +192,8 @@ def counted(loose: DataFrame, cosine: float) -> DataFrame:
             linked[k : k + ROWS_AT_ONCE] = hit @ copies
         return pd.DataFrame({"id": rows["id"], "linked": linked})
 
+    # Without this, rows that are already dealt by root would keep all blocks of a component in one task.
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "root", "i", "j")
     return rows.groupBy("root", "i", "j").applyInPandas(run, schema).groupBy("id").agg(F.sum("linked").alias("linked"))
 
 
