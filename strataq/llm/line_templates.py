@@ -62,15 +62,16 @@ def recurring(lines: DataFrame) -> DataFrame:
     short = each.where((F.col("__n") < MERGE_TOKENS) & (F.col("__low") != F.col("__high"))).select(*NAME, "__first")
     long = each.where(F.col("__n") >= MERGE_TOKENS)
     # Leaves that hold one text only cannot recur, whatever merges in them.
-    live = long.groupBy("__n", "__lead").agg(F.min("__low").alias("__low"), F.max("__high").alias("__high")).where("__low <> __high").select("__n", "__lead")
+    # Aggregates are cut before they are joined, so that the optimizer can split the join at a hot leaf or template.
+    live = cut(long.groupBy("__n", "__lead").agg(F.min("__low").alias("__low"), F.max("__high").alias("__high")).where("__low <> __high").select("__n", "__lead"))
     long = cut(long.join(live, ["__n", "__lead"], "left_semi"))
     rank = F.struct("__line", "__p01", "__p23")
     order = F.struct((-F.col("__count")).alias("c"), F.col("__first").alias("i"), F.col("__at").alias("a"), F.col("__line").alias("h"))
-    tops = long.groupBy("__n", "__lead").agg(F.min_by(rank, order).alias("__top"))
+    tops = cut(long.groupBy("__n", "__lead").agg(F.min_by(rank, order).alias("__top")))
     upper, lower = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
     agree = sum((f(c) == f(f"__top.{c}")).cast("int") for c in ("__p01", "__p23") for f in (upper, lower))
     merged = cut(long.join(tops, ["__n", "__lead"]).select(*NAME, F.when(agree >= PARTS - 1, F.col("__top.__line")).otherwise(F.col("__line")).alias("__c"), "__low", "__high", "__first"))
-    clusters = merged.groupBy("__lead", "__c").agg(F.min("__low").alias("__low"), F.max("__high").alias("__high"), F.min("__first").alias("__first")).where("__low <> __high").select("__lead", "__c", "__first")
+    clusters = cut(merged.groupBy("__lead", "__c").agg(F.min("__low").alias("__low"), F.max("__high").alias("__high"), F.min("__first").alias("__first")).where("__low <> __high").select("__lead", "__c", "__first"))
     return short.unionByName(merged.select(*NAME, "__c").join(clusters, ["__lead", "__c"]).select(*NAME, "__first"))
 
 
