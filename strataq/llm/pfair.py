@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PERIOD, ALPHA, BLOCK_ROWS = 1024, 0.5, 32
-ROWS_PER_RANGE, MOST_RANGES = 20_000, 1 << 20
+#: Hash ranges a source: as many as keep one under ROWS_PER_RANGE rows, and no fewer than 2 ** LEAST_BITS.
+ROWS_PER_RANGE, LEAST_BITS, MOST_BITS = 20_000, 7, 24
 MOST_BROADCAST = 256
 
 
@@ -143,7 +144,7 @@ def mixed(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", w
     rows = docs.withColumns({"__has": source.isNotNull().cast("int"), "__source": F.coalesce(source, F.lit("")), "__hash": F.xxhash64(F.lit(seed), F.col(id_col))})
     total = rows.groupBy("__has", "__source").agg(F.count(F.lit(1)).alias("__rows"))
     sources, n = total.agg(F.count(F.lit(1)), F.coalesce(F.sum("__rows"), F.lit(0))).first()
-    bits = max(4, min(20, (max(int(n), 1) // ROWS_PER_RANGE).bit_length()))
+    bits = max(LEAST_BITS, min(MOST_BITS, (max(int(n), 1) // ROWS_PER_RANGE).bit_length()))
     # Ranges of the hash, in the order of the signed hash.
     rows = rows.withColumn("__range", F.shiftrightunsigned(F.col("__hash").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits).cast("int"))
     sizes = rows.groupBy("__has", "__source", "__range").agg(F.count(F.lit(1)).alias("__n"))
