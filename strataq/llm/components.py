@@ -36,7 +36,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     for _ in range(most_rounds):
         # Large star: neighbours larger than u go to the smallest of u and its neighbours.
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Cut, so that the join below can be split at a node with very many neighbours.
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         # Small star: u and its smaller neighbours go to the smallest of these.
         low = large.groupBy("u").agg(F.min("v").alias("m"))

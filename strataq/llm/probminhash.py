@@ -186,7 +186,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drawn = cut(sketches(docs, id_col, text_col).withColumnRenamed(id_col, "id").where(F.col("id").isNotNull()))
     low = cut(drawn.groupBy("words").agg(F.min("id").alias("class_id"), F.min("slots").alias("slots")))
     member = drawn.select("id", "words").distinct().join(low.select("words", "class_id"), "words").groupBy("id").agg(F.min("class_id").alias("class_id"))
-    classes = low.where(F.col("slots").isNotNull()).select(F.col("class_id").alias("id"), "slots").dropDuplicates(["id"])
+    # Tables that a hot key is joined to are cut, so that the optimizer can split the join.
+    classes = cut(low.where(F.col("slots").isNotNull()).select(F.col("class_id").alias("id"), "slots").dropDuplicates(["id"]))
     band = lambda k: F.xxhash64(F.lit(k), F.substring("slots", k * ROWS * 4 + 1, ROWS * 4))
     banded = classes.select("id", F.explode(F.array(*(band(k) for k in range(BANDS)))).alias("band"))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -203,7 +204,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         close = pairs.join(slots("b"), "b").join(slots("a"), "a").where(equal_slots(F.col("slots_a"), F.col("slots_b")) >= int(FLOOR * SLOTS)).select("a", "b")
         close = cut(close)
         needed = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return cut(verified(close, texts.join(needed, "id", "left_semi").dropDuplicates(["id"])).where("ok").select("a", "b"))
+        read = cut(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]))
+        return cut(verified(close, read).where("ok").select("a", "b"))
 
     first = cut(starred(banded))
     links = linked(first)
