@@ -15,11 +15,14 @@ work is close to one arrival per shingle plus SLOTS * ln SLOTS per document.
 Documents of equal word sequences are one class, found by hash before anything
 else. ``BANDS`` bands of ``ROWS`` slots give candidate pairs: each class of a
 band is paired with the smallest one there; classes whose pair fails
-verification are paired once more among themselves with their smallest. Pairs
-are never all pairs of a band. A pair with clearly too few equal slots is
-dropped (an estimate under ``FLOOR`` happens to a pair of similarity 0.8 about
-once in a hundred thousand); the others are verified exactly on the whole
-texts, and verified links joined into components.
+verification are paired once more among themselves with their smallest. What is
+left of a band after that and lies in different components (families of texts
+that share much, each with many groups) is compared pair by pair on ``FINE``
+further one-byte slots, in blocks of about ``BLOCK`` classes spread over tasks.
+A pair with clearly too few equal slots is dropped (an estimate under ``FLOOR``
+or ``FINE_FLOOR`` happens to a pair of similarity 0.8 about once in a hundred
+thousand); the others are verified exactly on the whole texts, and verified
+links joined into components.
 
 Words are maximal runs of letters and digits, lower case. Cases: texts of fewer
 than five words are one shingle; null, empty and wordless texts form one class
@@ -39,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ._batches import map_texts, slices
 from .components import components, cut
@@ -46,6 +50,7 @@ from .components import components, cut
 SHINGLE, SIMILARITY = 5, 0.8
 SLOTS, BANDS, ROWS = 64, 16, 4
 FLOOR = 0.56
+FINE, FINE_FLOOR, BLOCK = 1024, 0.746, 1024
 WORD = re.compile(r"[^\W_]+")
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -159,6 +164,58 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_texts(docs, id_col, text_col, SKETCH, lambda: run)
 
 
+def fine_slots(texts: DataFrame) -> DataFrame:
+    """id and fine (the low bytes of FINE slots) of ``texts`` (id, text)."""
+
+    def run(texts: list[str]) -> list:
+        doc, element, weight = shingles([words_of(t) for t in texts])
+        return [[r.tobytes() for r in signatures(doc, element, weight, len(texts), FINE).astype(np.uint8)]]
+
+    return map_texts(texts, "id", "text", T.StructType([T.StructField("fine", T.BinaryType())]), lambda: run)
+
+
+def close_within(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a band with different roots and close fine slots, from ``rows`` (band, id, root, n, fine), n the rows of the band."""
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), parts).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
+    rows = rows.select("band", "id", "root", "fine", own.alias("own"), F.explode(blocks).alias("pair")).select("band", "pair.i", "pair.j", "own", "id", "root", "fine")
+    schema = T.StructType([T.StructField("a", rows.schema["id"].dataType), T.StructField("b", rows.schema["id"].dataType)])
+    arrow = to_arrow_schema(schema)
+
+    def pairs(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, own = block.column("id").to_pylist(), block.column("own").to_numpy()
+        root = np.unique(np.array(block.column("root").to_pylist(), object), return_inverse=True)[1]
+        fine = np.frombuffer(b"".join(block.column("fine").to_pylist()), np.uint8).reshape(len(ids), FINE)
+        crossing = block.column("i")[0] != block.column("j")[0]
+        for k in range(len(ids) - 1):
+            other = np.flatnonzero((root[k + 1 :] != root[k]) & ((own[k + 1 :] != own[k]) | (not crossing))) + k + 1
+            near = other[np.count_nonzero(fine[other] == fine[k], axis=1) >= int(FINE_FLOOR * FINE)]
+            if len(near):
+                ends = [(min(ids[k], ids[o]), max(ids[k], ids[o])) for o in near]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*ends, strict=True), arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the block that is not yet whole
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("band", "i", "j")], 1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if held and tuple(keys[a]) != last:
+                    yield from pairs(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = tuple(keys[a])
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
+    return dealt.mapInArrow(run, schema).distinct()
+
+
 def equal_slots(a: F.Column, b: F.Column) -> F.Column:
     """How many of the SLOTS four-byte slots agree."""
     return F.aggregate(F.sequence(F.lit(0), F.lit(SLOTS - 1)), F.lit(0), lambda s, k: s + (F.substring(a, k * 4 + 1, F.lit(4)) == F.substring(b, k * 4 + 1, F.lit(4))).cast("int"))
@@ -210,10 +267,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = cut(starred(banded))
     links = linked(first)
     left = first.join(links, ["a", "b"], "left_anti").select("band", F.col("b").alias("id"))
-    second = starred(left).join(links, ["a", "b"], "left_anti")
+    again = cut(starred(left))
+    second = again.join(links, ["a", "b"], "left_anti")
     links = links.unionByName(linked(second)).distinct()
     links = cut(links)
     roots = components(links)
+    # What is left of each band: neither end of a star, in buckets that hold different components.
+    last = again.join(links, ["a", "b"], "left_anti").select("band", F.col("b").alias("id"))
+    last = last.join(roots, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    apart = last.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "n")
+    last = cut(last.join(cut(apart), "band"))
+    if not last.isEmpty():
+        read = texts.join(last.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+        more = linked(close_within(last.join(cut(fine_slots(read)), "id")))
+        if not more.isEmpty():
+            links = cut(links.unionByName(more).distinct())
+            roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     out = member.join(roots, F.col("class_id") == F.col("node"), "left").drop("node").join(degree, F.col("class_id") == F.col("node"), "left")
     group = F.coalesce("root", "class_id")

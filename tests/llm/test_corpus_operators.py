@@ -100,6 +100,24 @@ def test_large_groups_of_near_copies(spark):
     assert Counter(x["group_id"] for x in got)[0] == 300 and sum(x["kept"] for x in got) == 51
 
 
+def test_pairs_inside_a_family_of_templates(spark, monkeypatch):
+    r = random.Random(12)
+    form = [f"form{i}" for i in range(420)]
+    own = lambda n: [f"x{r.getrandbits(40)}" for _ in range(n)]
+    texts = []
+    for _ in range(300):  # two texts of similarity about 0.81; about 0.69 to all other groups
+        both = own(38)
+        texts += [" ".join(form + both + own(53)) for _ in range(2)]
+    sets = [(e, w) for t in texts for _, e, w in [probminhash.shingles([probminhash.words_of(t)])]]
+    assert all(probminhash.probability_jaccard(sets[k], sets[k + 1]) >= 0.8 for k in range(0, 600, 2))
+    assert all(0.65 < probminhash.probability_jaccard(sets[k], sets[k + 2]) < 0.8 for k in range(598))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (1024, 32):
+        monkeypatch.setattr(probminhash, "BLOCK", block)
+        got = {x["doc_id"]: x["group_id"] for x in probminhash.near_duplicates(docs).collect()}
+        assert got == {k: k - k % 2 for k in range(600)}
+
+
 # --- op5 ---
 
 
