@@ -2,6 +2,9 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir). run()
 applies them in order. All stages but the last return the columns of documents.
+Files are read again in any order, so the last stage takes the order of the mix
+from the names and row numbers of the files it reads and hands it on as
+``position``.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataq.llm.bpe import encode_decode
@@ -40,9 +43,20 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return in_mix_order(docs)
 
 
+def positioned(docs: DataFrame) -> DataFrame:
+    """``docs``, read from Parquet files, with the place of each row in the order in which they were written as ``position``."""
+    named = docs.withColumns({"__file": F.col("_metadata.file_name"), "__at": F.col("_metadata.row_index")})
+    sizes = named.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy(F.regexp_extract("__file", r"part-(\d+)", 1).try_cast("long"), "__file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))  # one row per file
+    return named.join(F.broadcast(offsets), "__file").withColumn("position", F.col("__before") + F.col("__at")).drop("__file", "__at", "__before")
+
+
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents, the token ids (little-endian unsigned 32-bit integers), their number and the digest of the decoded text."""
-    rest = [c for c in docs.columns if c not in ("ids", "n_tokens", "decoded_sha256")]
+    """The columns of documents, the position in the mix, the token ids (little-endian unsigned 32-bit integers), their number and the digest of the decoded text; in the order of the mix."""
+    rest = [*(c for c in docs.columns if c not in ("position", "ids", "n_tokens", "decoded_sha256")), "position"]
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = positioned(docs).repartitionByRange(parts, "position").sortWithinPartitions("position")
     told = encode_decode(docs.select(F.struct(*rest).alias("__row"), "text"), public_tokenizers.path("byte_bpe_50k.json"), "__row")
     return told.select("__row.*", "ids", "n_tokens", F.sha2("decoded", 256).alias("decoded_sha256"))
 

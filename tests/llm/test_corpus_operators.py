@@ -266,3 +266,18 @@ def test_pipeline(spark):
     assert [n for n, _ in pipeline.STAGES] == ["quality_classifier", "line_dedup", "near_dedup", "mixing", "bpe"]
     assert got.columns[: len(docs.columns)] == docs.columns and 0 < got.count() <= docs.count()
     assert got.select("doc_id").distinct().count() == got.count()
+
+
+def test_pipeline_keeps_the_order_of_the_mix(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    got = pipeline.run(spark, "/root/testdata/sf0.001").select("position", "doc_id", "source").collect()
+    assert sorted(r["position"] for r in got) == list(range(len(got)))
+    places = pfair.mix_places(spark.createDataFrame([(r["doc_id"], r["source"]) for r in got], "doc_id long, source string")).collect()
+    assert [r["doc_id"] for r in sorted(got)] == [r["doc_id"] for r in sorted(places, key=lambda r: (r["slot"], r["row_in_block"]))]
+
+
+def test_positions_follow_files_of_differing_size(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("id", "repeat(uuid(), int(10000 / (id + 1))) AS text")
+    rows.repartitionByRange(7, "id").sortWithinPartitions("id").write.parquet(f"{tmp_path}/x")
+    got = pytest.importorskip("corpus_pipeline").positioned(spark.read.parquet(f"{tmp_path}/x"))
+    assert got.count() == 5000 and got.where("position <> id").count() == 0
