@@ -5,9 +5,14 @@ orders all vectors by that string and compares each with the ``WINDOW`` next
 ones. Verified pairs of all passes are joined into components. The number of
 passes follows from the row count: a pair at the threshold shares the leading
 log2(n / WINDOW) signs with a known probability, and there are as many passes
-as make a miss in all of them rarer than 1 - ``TARGET``. Sorting is a range
-partition, so nothing is gathered in one task; a window ends at the edge of a
-partition, and other passes cover pairs that an edge separates.
+as make a miss in all of them rarer than 1 - ``TARGET`` on even data. What real
+data have is measured: each pass tells for each vector how many leading signs
+leave no more rows than a window, and so how likely it misses a pair there.
+Vectors whose misses do not fall below 1 - ``TARGET`` go through further passes
+among themselves as long as that settles half of them; the rest (dense cones)
+is compared exactly in blocks, a quadratic number of comparisons. Sorting is a
+range partition, so nothing is gathered in one task; a window ends at the edge
+of a partition, and a pass counts for nothing for the vectors next to an edge.
 
 Equal vectors are one class from the start. Each task links its verified pairs
 into local components and hands on one edge per vector, not all pairs of a
@@ -38,6 +43,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .components import components, cut
 
 COSINE, WINDOW, BITS, TARGET, BLOCK, SEED = 0.95, 32, 48, 0.995, 2048, 20
+#: Vectors that the passes leave open are compared exactly at once if they are no more than this.
+FEW = 16_384
 #: Comparisons per matrix product, to bound memory.
 ROWS_AT_ONCE = 4096
 
@@ -62,8 +69,8 @@ def signs(x: np.ndarray, number: int) -> np.ndarray:
     return ((x @ planes > 0) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))).astype(np.int64)
 
 
-def keyed(classes: DataFrame, passes: int) -> DataFrame:
-    """(pass, dim, key, id, vec): one row per class and pass."""
+def keyed(classes: DataFrame, passes: int, start: int = 0) -> DataFrame:
+    """(pass, dim, key, id, vec): one row per class and pass, the passes numbered from ``start``."""
     schema = T.StructType([T.StructField("pass", T.IntegerType()), T.StructField("dim", T.IntegerType()), T.StructField("key", T.LongType()), classes.schema["id"], classes.schema["vec"]])
     arrow = to_arrow_schema(schema)
 
@@ -75,7 +82,7 @@ def keyed(classes: DataFrame, passes: int) -> DataFrame:
                 for d in np.unique(sizes):
                     rows = part.filter(pa.array(sizes == d))
                     x = matrix(rows.column("vec"))
-                    for p in range(passes):
+                    for p in range(start, start + passes):
                         n = rows.num_rows
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, d, np.int32)), pa.array(signs(x, p)), rows.column("id").cast(arrow[3].type), rows.column("vec").cast(arrow[4].type)], schema=arrow)
 
@@ -95,13 +102,40 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
+def needed(keys: np.ndarray, window: int) -> np.ndarray:
+    """For each row of sorted keys, how many leading signs leave at most ``window`` others beside it; over BITS where none do."""
+    m = len(keys) - window - 1
+    if m <= 0:
+        return np.zeros(len(keys), np.int64)
+    alike = BITS - np.frexp((keys[:m] ^ keys[window + 1 :]).astype(np.float64))[1].astype(np.int64)
+    beyond = np.full(window + 1, -1)
+    return np.lib.stride_tricks.sliding_window_view(np.r_[beyond, alike, beyond], window + 2).max(1) + 1
+
+
 def windowed(rows: DataFrame, cosine: float, window: int) -> DataFrame:
-    """(a, b) edges that span the verified pairs of each sorted partition."""
-    schema = T.StructType([T.StructField("a", rows.schema["id"].dataType), T.StructField("b", rows.schema["id"].dataType)])
+    """(a, b) edges that span the verified pairs of each sorted partition; with null b, ``miss``: the logarithm of the chance that the pass misses a pair of a."""
+    schema = T.StructType([T.StructField("a", rows.schema["id"].dataType), T.StructField("b", rows.schema["id"].dataType), T.StructField("miss", T.DoubleType())])
     arrow = to_arrow_schema(schema)
+    same = 1 - math.acos(cosine) / math.pi
+
+    def misses(keys: list[np.ndarray], ids: list, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+        """Of one group; ``first`` and ``last`` tell whether it touches an edge of the partition."""
+        signs_needed = needed(np.concatenate(keys), window)
+        n = len(signs_needed)
+        miss = np.where(signs_needed > BITS, 0.0, np.log1p(-np.minimum(same**signs_needed, 1 - 1e-12)))
+        if first:
+            miss[: window + 1] = 0.0
+        if last:
+            miss[max(n - window - 1, 0) :] = 0.0
+        for k in range(0, n, ROWS_AT_ONCE):
+            part = ids[k : k + ROWS_AT_ONCE]
+            yield pa.RecordBatch.from_arrays([pa.array(part, arrow[0].type), pa.nulls(len(part), arrow[1].type), pa.array(miss[k : k + ROWS_AT_ONCE])], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: tuple | None = None  # the last rows of what came before
+        now, first = None, True  # the group whose keys are held
+        keys: list[np.ndarray] = []
+        held: list = []
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(k, ROWS_AT_ONCE)
@@ -109,6 +143,12 @@ def windowed(rows: DataFrame, cosine: float, window: int) -> DataFrame:
                 for g in np.unique(group):
                     rows = part.filter(pa.array(group == g))
                     x, ids = matrix(rows.column("vec")), rows.column("id").to_pylist()
+                    if now is not None and now != g:
+                        yield from misses(keys, held, first, False)
+                        keys, held, first = [], [], False
+                    now = g
+                    keys.append(rows.column("key").to_numpy())
+                    held += ids
                     if carry is not None and carry[0] == g:
                         x, ids = np.concatenate([carry[1], x]), carry[2] + ids
                     a, b = [], []
@@ -120,12 +160,56 @@ def windowed(rows: DataFrame, cosine: float, window: int) -> DataFrame:
                         root = local_roots(len(x), np.concatenate(a), np.concatenate(b))
                         at = np.flatnonzero(root != np.arange(len(x)))
                         if len(at):
-                            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in root[at]], arrow[0].type), pa.array([ids[i] for i in at], arrow[1].type)], schema=arrow)
+                            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in root[at]], arrow[0].type), pa.array([ids[i] for i in at], arrow[1].type), pa.nulls(len(at), pa.float64())], schema=arrow)
                     carry = (g, x[-window:], ids[-window:])
+        if held:
+            yield from misses(keys, held, first, True)
 
     return rows.mapInArrow(run, schema)
 
 
+def exact(rows: DataFrame, n: int, cosine: float) -> DataFrame:
+    """(a, b) edges that span all linked pairs of ``rows`` (id, vec), n of them, by comparing blocks."""
+    parts = math.ceil(n / BLOCK)
+    own = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
+    dealt = rows.select("id", "vec", F.size("vec").alias("dim"), F.explode(blocks).alias("pair")).select("id", "vec", "dim", "pair.i", "pair.j")
+    schema = T.StructType([T.StructField("a", rows.schema["id"].dataType), T.StructField("b", rows.schema["id"].dataType)])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = rows["id"].to_numpy()
+        x = np.array(rows["vec"].tolist(), np.float64)
+        x /= np.abs(x).max(1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        root = np.arange(len(x))
+        for k in range(0, len(x), BLOCK // 8 or 1):
+            a, b = np.nonzero(x[k : k + (BLOCK // 8 or 1)] @ x.T >= cosine)
+            root = local_roots(len(x), np.r_[a + k, np.arange(len(x))], np.r_[b, root])
+        at = np.flatnonzero(root != np.arange(len(x)))
+        return pd.DataFrame({"a": ids[root[at]], "b": ids[at]})
+
+    dealt = dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "dim", "i", "j")
+    return dealt.groupBy("dim", "i", "j").applyInPandas(run, schema)
+
+
+def linked_pairs(classes: DataFrame, n: int, cosine: float, window: int) -> DataFrame:
+    """(a, b) edges that span the linked pairs of ``classes`` (id, vec), n of them."""
+    parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    left, start = classes.select("id", "vec", F.lit(0.0).alias("miss")), 0
+    edges = None
+    while True:
+        passes = passes_for(n, cosine, window)
+        order = keyed(left, passes, start).repartitionByRange(parts, "pass", "dim", "key", "id").sortWithinPartitions("pass", "dim", "key", "id")
+        told = cut(windowed(order, cosine, window))
+        found = told.where("b IS NOT NULL").select("a", "b")
+        edges = found if edges is None else edges.unionByName(found)
+        chance = told.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("miss").alias("more"))
+        left = cut(left.join(chance, "id").select("id", "vec", (F.col("miss") + F.col("more")).alias("miss")).where(F.col("miss") > math.log(1 - TARGET)))
+        before, n, start = n, left.count(), start + passes
+        if n <= FEW or n > before / 2:
+            return edges.unionByName(exact(left, n, cosine)) if n > 1 else edges
+
+
 def centres(members: DataFrame) -> DataFrame:
     """root and centre (unit mean) of each component; tasks sum their rows first."""
     schema = T.StructType([members.schema["root"], T.StructField("sum", T.ArrayType(T.DoubleType()))])
@@ -199,7 +283,6 @@ def counted(loose: DataFrame, cosine: float) -> DataFrame:
 
 def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE, window: int = WINDOW) -> DataFrame:
     """One row per id: n_links, component_id, kept."""
-    spark = df.sparkSession
     rows = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(vec_col)).alias("vec"))
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
     rows = rows.withColumn("valid", F.coalesce(F.col("vec").isNotNull() & finite, F.lit(False)))
@@ -207,9 +290,7 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str =
     valid = rows.where("valid")
     classes = cut(valid.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")))
     n = classes.count()
-    order = keyed(classes, passes_for(n, cosine, window))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    edges = windowed(order.repartitionByRange(parts, "pass", "dim", "key", "id").sortWithinPartitions("pass", "dim", "key", "id"), cosine, window)
+    edges = linked_pairs(classes, n, cosine, window)
     roots = components(edges.distinct()).withColumnRenamed("node", "id")
     members = cut(classes.select("id", "copies", "vec").join(roots, "id"))
     turned = cut(angles(members.join(centres(members), "root")))

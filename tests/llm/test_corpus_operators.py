@@ -139,6 +139,25 @@ def test_vectors_equal_brute_force(spark):
     assert all(got[i]["kept"] == (want[i] == i) for i in range(len(x)))
 
 
+def test_pairs_inside_a_dense_cone(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    aside = lambda v, c: unit(c**0.5 * v + (1 - c) ** 0.5 * unit(r.normal(size=v.shape)))
+    cone = aside(np.broadcast_to(unit(r.normal(size=64)), (1500, 64)), 0.88)
+    x = np.concatenate([unit(r.normal(size=(3000, 64))), cone, aside(cone[:200], 0.92)]).astype(np.float32)
+    wide = unit(x.astype(float))
+    near = wide @ wide.T >= 0.95
+    np.fill_diagonal(near, False)
+    a, b = np.nonzero(near)
+    assert len(a) > 300
+    rows = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    for few in (sorted_passes.FEW, 8):  # straight to the blocks, and after further passes
+        monkeypatch.setattr(sorted_passes, "FEW", few)
+        got = {y["vec_id"]: y["component_id"] for y in sorted_passes.near_duplicate_vectors(rows).collect()}
+        found = np.array([got[i] for i in range(len(x))])
+        assert np.mean(found[a] == found[b]) >= 0.99, (few, len(a), np.mean(found[a] == found[b]))
+
+
 def test_blocks_count_wide_components(spark, monkeypatch):
     monkeypatch.setattr(sorted_passes, "BLOCK", 16)
     angle = np.linspace(0, np.pi / 2, 120)  # a chain: neighbours link, ends do not
