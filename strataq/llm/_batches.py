@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -36,7 +36,7 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, out: T.StructType, make
 
     Null texts arrive as "". The result has the id column and the fields of ``out``.
     """
-    source = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    source = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text of the batch"))
     schema = T.StructType([source.schema[0], *out.fields])
     arrow = to_arrow_schema(schema)
 
@@ -50,3 +50,12 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, out: T.StructType, make
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, type=x.type) for c, x in zip(columns, list(arrow)[1:], strict=True))], schema=arrow)
 
     return source.mapInArrow(run, schema)
+
+
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """``df`` as one struct column ``row`` beside the columns ``more`` of it: columns of ``df`` cannot clash with those of an operator. ``select("row.*")`` undoes it."""
+    return df.select(F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row"), *(c.alias(name) for name, c in more.items()))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -1,11 +1,17 @@
 """Near copies, vectors, quality, line templates, mixing, the pipeline: against brute force, SQL and held-out labels."""
 
+import bisect
+import heapq
+import math
 import random
+import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from strataq.llm import components, line_templates, pfair, probminhash, registry, sorted_passes, zstd_quality
@@ -178,12 +184,109 @@ def test_hard_vectors(spark):
 # --- op6 ---
 
 
+def labelled(sf="sf0.1"):
+    at = lambda t: f"read_parquet('/root/testdata/{sf}/{t}.parquet')"
+    rows = duckdb.sql(f"SELECT coalesce(text, ''), quality, doc_id FROM {at('documents')} d JOIN {at('labels')} l USING (doc_id) WHERE quality IN (0, 1) ORDER BY doc_id").fetchall()
+    return [(t, q) for t, q, i in rows if zlib.crc32(str(i).encode()) % 5], [(t, q) for t, q, i in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+
+
+def fit_without_spark(rows):
+    """Dictionaries from the first 70 % of each class, then what ``train`` does with the rest: (told, prior, model)."""
+    held, rest = [], []
+    for k in (1, 0):
+        own = [t.encode() for t, q in rows if q == k][:1500]
+        cut = round(len(own) * 0.7)
+        most = max(zstd_quality.PIECE, zstd_quality.equal_share([len(x) for x in own[:cut]], zstd_quality.DICTIONARY_BYTES))
+        held.append(zstd_quality.dictionary([zstd_quality.even_pieces(x, most) for x in own[:cut]]))
+        rest += [(x.decode(), k) for x in own[cut:]]
+    of = zstd_quality.differ(*held)
+    told = np.array([(k, *of(t)) for t, k in rest], float)
+    prior = sum(q for _, q in rows) / len(rows)
+    return told, prior, zstd_quality.fitted(*held, told, prior)
+
+
+def test_calibration_equals_an_independent_fit():
+    rows, _ = labelled("sf0.01")
+    told, prior, model = fit_without_spark(rows)
+    label, saved, size = told.T
+    x = zstd_quality.smoothed(saved, size, model.mean)
+    weight = zstd_quality.weights_of(label, prior)
+    middle, spread = (weight * x).sum() / weight.sum(), x.std()
+    z = np.c_[(x - middle) / spread, np.ones(len(x))]
+    w, before, slope = np.zeros(2), np.zeros(2), np.inf
+    for k in range(1, 400_000):  # accelerated gradient descent from nought
+        ahead = w + (k - 1) / (k + 2) * (w - before)
+        p = 1 / (1 + np.exp(-z @ ahead))
+        slope = z.T @ (weight * (p - label)) + zstd_quality.RIDGE * ahead
+        before, w = w, ahead - 1.0 * slope / max((weight[:, None] * z * z).sum(0).max() / 2, 1)
+        if np.abs(slope).max() < 1e-10:
+            break
+    assert np.abs(slope).max() < 1e-8
+    assert np.allclose([model.slope, model.offset], [w[0] / spread, w[1] - w[0] * middle / spread], rtol=1e-4)
+
+
+def test_calibration_converges_on_any_resample():
+    """Each fit ends at a point without slope, rises with the difference and does not depend on the order of the rows."""
+    rows, _ = labelled()
+    told, prior, model = fit_without_spark(rows)
+    r = np.random.default_rng(4)
+    for k in range(200):
+        some = told[r.choice(len(told), len(told) * (1 + k % 4) // 4)]
+        if len(set(some[:, 0])) < 2:
+            continue
+        found = zstd_quality.fitted(model.good, model.bad, some, prior)
+        again = zstd_quality.fitted(model.good, model.bad, some[r.permutation(len(some))], prior)
+        assert found == again and found.slope >= 0
+        x, weight = zstd_quality.smoothed(some[:, 1], some[:, 2], found.mean), zstd_quality.weights_of(some[:, 0], prior)
+        p = 1 / (1 + np.exp(-np.clip(found.slope * x + found.offset, -700, 700)))
+        spread = x.std() or 1
+        assert abs((weight * (p - some[:, 0])).sum()) < 2e-3 and abs((weight * (p - some[:, 0]) * (x - x.mean())).sum() / spread) < 2e-3
+        share = np.mean(p >= zstd_quality.THRESHOLD)
+        assert abs(share - some[:, 0].mean()) < 0.06
+    apart = np.array([(1, 50, 100)] * 9 + [(0, -50, 100)] * 9, float)  # classes that a line parts
+    assert zstd_quality.fitted(b"x" * 8, b"y" * 8, apart, 0.5).slope > 0
+    mixed = np.array([(k % 2, k // 2, 100) for k in range(40)], float)
+    assert zstd_quality.fitted(b"x" * 8, b"y" * 8, mixed * [1, 0, 1], 0.9).slope == 0.0
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_models_of_other_samples_keep_the_same_share(seed):
+    rows, held_out = labelled()
+    r = random.Random(seed)
+    _, _, model = fit_without_spark(r.sample(rows, len(rows) * 3 // 4))
+    f = model.scorer()
+    right = [(f(t) >= zstd_quality.THRESHOLD) == q for t, q in held_out]
+    assert np.mean(right) > 0.965
+    docs = [t or "" for (t,) in duckdb.sql("SELECT text FROM read_parquet('/root/testdata/sf0.1/documents.parquet') WHERE doc_id % 20 = 3").fetchall()]
+    assert 0.83 < np.mean([f(t) >= zstd_quality.THRESHOLD for t in docs]) < 0.91
+
+
 def test_held_out_quality(spark):
     got = registry.op6_zstd_quality(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
     assert np.mean([r["predicted"] == r["quality"] for r in got]) > 0.93
     assert np.mean([r["predicted"] for r in got if r["quality"] == 1]) > 0.97
 
 
+def test_model_does_not_depend_on_partitions_or_repeated_ids(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    more = docs.limit(50).withColumn("text", F.lit("~ another text under the same id"))
+    one = zstd_quality.train(docs.unionByName(more), labels)
+    assert one == zstd_quality.train(more.unionByName(docs).repartition(7, "text"), labels.repartition(3))
+
+
+def test_scores_equal_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = zstd_quality.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in zstd_quality.score(docs, model).collect()}
+    for r in docs.where("doc_id % 9 = 0").collect():
+        raw, sizes = (r["text"] or "").encode(), []
+        for held in (model.good, model.bad):
+            c = zstandard.ZstdCompressor(level=zstd_quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(held, zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(raw[k : k + zstd_quality.SEGMENT])) for k in range(0, len(raw), zstd_quality.SEGMENT)))
+        x = (sizes[1] - sizes[0] + zstd_quality.EVIDENCE * model.mean) / (len(raw) + zstd_quality.EVIDENCE)
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-(model.slope * x + model.offset)))) < 1e-9
+
+
 def test_quality_learns_nothing_from_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -191,13 +294,17 @@ def test_quality_learns_nothing_from_held_out_labels(spark):
 
 
 def test_quality_of_hard_rows(spark):
-    docs = spark.createDataFrame([(1, None, 1.0), (2, "", 1.0), (3, "good words here", 1.0), (3, "good words here", 1.0), (4, "x " * 100_000, 1.0)], "doc_id long, text string, score double")
+    docs = spark.createDataFrame([(1, None, 1.0, 2, 3), (2, "", 1.0, 2, 3), (3, "good words here", 1.0, 2, 3), (3, "good words here", 1.0, 2, 3), (4, "x " * 100_000, 1.0, 2, 3)], "doc_id long, text string, score double, row int, __score int")
     labels = spark.createDataFrame([(3, 1), (4, 0), (9, None)], "doc_id long, quality int")
     for marked in (labels, labels.where("quality = 1"), labels.limit(0)):
         model = zstd_quality.train(docs, marked)
         got = zstd_quality.score(docs, model).collect()
         assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
-        assert zstd_quality.keep_good(docs, model).columns == docs.columns
+        kept = zstd_quality.keep_good(docs, model)
+        assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} <= {(1.0, 2, 3)}
+    empty = docs.limit(0)
+    model = zstd_quality.train(empty, labels)
+    assert zstd_quality.score(empty, model).count() == 0 and zstd_quality.keep_good(empty, model).count() == 0
 
 
 # --- op10 ---
@@ -232,45 +339,97 @@ def test_line_templates_on_random_texts_and_repeats(spark):
 # --- op4 ---
 
 
-def schedule(units, left):
-    out = []
-    while any(left[s] and units[s] for s in left):
-        live = {s: units[s] for s in left if left[s] and units[s]}
-        period, done, t = sum(live.values()), dict.fromkeys(live, 0), 0
-        while True:
-            s = min((-(-(done[s] + 1) * period // live[s]), -live[s], s) for s in live if done[s] * period // live[s] <= t)[2]
-            done[s], left[s], t = done[s] + 1, left[s] - 1, t + 1
-            out.append(s)
-            assert all(abs(done[x] - t * live[x] / period) < 1 for x in live)
-            if not left[s]:
-                break
+def fluid(sizes, units):
+    """Slots passed at virtual time v, in exact arithmetic."""
+    return lambda v: sum(min(Fraction(n), u * v) for n, u in zip(sizes, units, strict=True))
+
+
+def earliest_deadline_first(sizes, units, names):
+    """Source of each slot by a plain simulation in exact arithmetic."""
+    t = fluid(sizes, units)
+    jobs = sorted((math.floor(t(Fraction(i, u))), math.ceil(t(Fraction(i + 1, u))), s, i) for n, u, s in zip(sizes, units, names, strict=True) for i in range(n))
+    out, ready, at = [], [], 0
+    for slot in range(len(jobs)):
+        while at < len(jobs) and jobs[at][0] <= slot:
+            heapq.heappush(ready, jobs[at][1:])
+            at += 1
+        due, s, i = heapq.heappop(ready)
+        assert slot < due
+        out.append((s, i))
     return out
 
 
-@pytest.mark.parametrize("weights", [None, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1.0}, {"b": 0.0, "zz": 3.0}])
+def source_table(spark, sizes, units, tiers=None):
+    rows = [(tier, k + 1, n, u) for k, (n, u, tier) in enumerate(zip(sizes, units, tiers or [0] * len(sizes), strict=True))]
+    return spark.createDataFrame(rows, "tier int, source long, blocks long, units long")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_schedule_equals_a_plain_simulation(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    monkeypatch.setattr(pfair, "LEAST_EPOCH", [5, 40, 64, 4096][seed])  # many epochs that hand over
+    monkeypatch.setattr(pfair, "STEP", [1, 4, 7, 32][seed])
+    k = [3, 9, 25, 6][seed]
+    sizes = [r.choice([1, 2, r.randint(1, 60), r.randint(1, 200)]) for _ in range(k)]
+    units = [r.choice([1, 7, r.randint(1, 10**6), 10**15]) if seed == 3 else r.randint(1, 50) for _ in range(k)]
+    got = sorted((x["slot"], x["source"], x["block"]) for x in pfair.schedule(source_table(spark, sizes, units)).collect())
+    want = earliest_deadline_first(sizes, units, range(1, k + 1))
+    assert [x[0] for x in got] == list(range(sum(sizes))) and [x[1:] for x in got] == want
+
+
+def test_less_than_one_block_from_the_target_in_a_million_slots(spark):
+    """5000 sources of unlike weights; after each slot, in exact arithmetic, each source is within one block of its fluid share."""
+    r = np.random.default_rng(9)
+    sizes = np.r_[r.integers(1, 40, 4990), r.integers(50_000, 150_000, 10)]
+    units = np.r_[r.integers(1, 10**6, 4990), r.integers(10**7, 10**8, 10)]
+    found = pfair.schedule(source_table(spark, sizes.tolist(), units.tolist())).select("slot", "source", "block").toPandas().sort_values("slot")
+    n = int(sizes.sum())
+    assert n > 800_000 and (found["slot"].to_numpy() == np.arange(n)).all()
+    assert not found.duplicated(["source", "block"]).any() and (found.groupby("source")["block"].max().to_numpy() == sizes - 1).all()
+    # Block i of s: no earlier than floor(t(i / u)) and before ceil(t((i + 1) / u)), which is the bound.
+    ends = sorted((Fraction(int(b), int(u)), int(b), int(u)) for b, u in zip(sizes, units, strict=True))
+    gone = np.r_[0, np.cumsum([e[1] for e in ends])].tolist()
+    live = (sum(e[2] for e in ends) - np.r_[0, np.cumsum([e[2] for e in ends])]).tolist()
+    times = [e[0] for e in ends]
+
+    def t(i, u):
+        k = bisect.bisect_left(times, Fraction(i, u))
+        return gone[k] * u + live[k] * i  # times u
+
+    some = found.iloc[r.choice(n, 60_000, replace=False)]
+    for slot, s, i in zip(*(some[c].tolist() for c in ("slot", "source", "block")), strict=True):
+        u = int(units[s - 1])
+        assert t(i, u) // u <= slot < -(-t(i + 1, u) // u)
+
+
+def test_weights_are_whole_units():
+    assert pfair.whole_units({"a": 0.5, "b": 0.25, "c": 0, "d": None}) == {"a": 2, "b": 1}
+    assert pfair.whole_units({"a": Fraction(1, 3), "b": 2}) == {"a": 1, "b": 6}
+    assert max(pfair.whole_units({"a": 0.1, "b": 0.7}).values()) <= pfair.MOST_UNITS and pfair.whole_units({}) == {}
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 0.5, "b": 0.25, "c": 0.25}, {"a": 1.0}, {"b": 0.0, "zz": 3.0}])
 def test_mix_equals_the_schedule(spark, weights):
     sizes = {"a": 500, "b": 90, "c": 41, "d": 1}
     rows = [(i, s, None) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
-    got = pfair.mix_places(spark.createDataFrame(rows, "doc_id long, source string, slot string"), weights=weights, block_rows=8, period=64).collect()
+    got = pfair.mix_places(spark.createDataFrame(rows, "doc_id long, source string, slot string"), weights=weights, block_rows=8).collect()
     assert len(got) == len(rows) and len({(r["slot"], r["row_in_block"]) for r in got}) == len(rows)
-    w = {s: n**0.5 if weights is None else weights.get(s, 0) for s, n in sizes.items()}
-    total, n = sum(w.values()), sum(sizes.values())
-    whole = lambda x: max(1, int(x + 0.5))
-    units = {s: whole(w[s] / total * 64) if w[s] else 0 for s in sizes}
-    blocks = {s: -(-k // 8) for s, k in sizes.items()}
-    want = schedule(units, {s: b if units[s] else 0 for s, b in blocks.items()})
-    late = {s: 0 if units[s] else whole(sizes[s] / n * 64) for s in sizes}
-    want += schedule(late, {s: b if late[s] else 0 for s, b in blocks.items()})
-    place = {r["slot"]: r["source"] for r in got}
-    assert [place[k] for k in range(len(place))] == want
+    units = {s: round(n**0.5 * pfair.ROOT_UNITS) for s, n in sizes.items()} if weights is None else pfair.whole_units(weights)
+    want = []
+    for tier in (lambda s: s in units, lambda s: s not in units):
+        names = [s for s in sizes if tier(s)]
+        want += earliest_deadline_first([-(-sizes[s] // 8) for s in names], [units.get(s, sizes[s]) for s in names], names)
+    assert [(r["source"], r["block"]) for r in sorted(got, key=lambda r: r["slot"]) if not r["row_in_block"]] == want
 
 
 def test_mix_of_hard_rows(spark):
-    rows = [(1, "s", "t"), (1, "s", "t"), (None, None, None), (2, None, ""), (3, "", "x")]
+    rows = [(1, "s", "t"), (1, "s", "t"), (1, "s", "other"), (None, None, None), (None, "s", "u"), (2, None, ""), (3, "", "x")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for c in ("row", "__row", "__slot", "slot", "__source", "name", "key", "range", "block", "__hash", "a.b"):
+        df = df.withColumn(c, F.lit(c))
     out = pfair.in_mix_order(df)
     assert out.columns == df.columns and sorted(map(repr, out.collect())) == sorted(map(repr, df.collect()))
-    assert pfair.mix_places(df.limit(0)).count() == 0
+    assert pfair.mix_places(df.limit(0)).count() == 0 and pfair.in_mix_order(df.limit(0)).count() == 0
     plan = pfair.mix_places(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
