@@ -11,7 +11,7 @@ of recurring templates are dropped in all documents but the first (the smallest
 id) that has them, so nothing leaves the corpus altogether.
 
 Only hashes travel before the last join: 128 bits for a template and 32 for
-each part. The parsed lines and their aggregate are cut with checkpoint(), so
+each part. The parsed lines and their aggregate are written as tables, so
 texts are parsed once. The count per template is aggregated before the shuffle, so a line
 that a third of all documents share costs one row a task; the joins that follow
 have one row per key on one side and can be split by the optimizer.

@@ -12,22 +12,32 @@ All elements of a batch advance together, one arrival a round; an element stops
 as soon as its next arrival is later than the latest slot of its document, so
 work is close to one arrival per shingle plus SLOTS * ln SLOTS per document.
 
-Documents of equal word sequences are one class, found by hash before anything
-else. ``BANDS`` bands of ``ROWS`` slots give candidate pairs: each class of a
-band is paired with the smallest one there; classes whose pair fails
-verification are paired once more among themselves with their smallest. What is
-left of a band after that and lies in different components (families of texts
-that share much, each with many groups) is compared pair by pair on ``FINE``
-further one-byte slots, in blocks of about ``BLOCK`` classes spread over tasks.
-A pair with clearly too few equal slots is dropped (an estimate under ``FLOOR``
-or ``FINE_FLOOR`` happens to a pair of similarity 0.8 about once in a hundred
-thousand); the others are verified exactly on the whole texts, and verified
-links joined into components.
+Documents of equal word sequences are one class, found by a 128-bit digest before
+anything else; classes are the nodes of what follows. ``BANDS`` bands of ``ROWS``
+slots give candidate pairs: each class of a band is paired with the smallest one
+there; classes whose pair fails verification are paired once more among
+themselves with their smallest. Pairs with clearly too few equal slots are
+dropped (an estimate under ``FLOOR`` or ``FINE_FLOOR`` happens to a pair of
+similarity 0.8 about once in a hundred thousand), the others verified exactly on
+the whole texts, and verified links joined into components.
+
+What is left of a band after that and lies in different components (families of
+texts that share much, each with many groups) is compared pair by pair, on
+``FINE`` further one-byte slots, in blocks of about ``BLOCK`` classes spread over
+tasks. Pairs are not handed on: a task tells first a spanning forest of the pairs
+whose estimate reaches ``SURE``, which are then verified like the others; and of
+what still lies in different components, a second pass verifies in the task
+itself, the closest pairs first and none that earlier ones have joined, and tells
+the links that joined. So rows stay linear in the classes, and every pair of a
+band ends in one component or is known to be no link.
 
 Words are maximal runs of letters and digits, lower case. Cases: texts of fewer
 than five words are one shingle; null, empty and wordless texts form one class
-of their own (equal word sequences). Very long texts are used whole. The
-smallest id of a component represents it and is kept; repeated rows count once.
+of their own (equal word sequences). Very long texts are used whole. An id with
+several texts counts once for each word sequence. The smallest id of a component
+represents it (of its texts there, the one with the smallest hash) and is kept;
+rows that repeat id and text count once. Rows without an id are in no group.
+Input columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -44,13 +54,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._batches import map_texts, slices
+from ._batches import map_texts, packed, quoted, slices
 from .components import components, cut
 
 SHINGLE, SIMILARITY = 5, 0.8
 SLOTS, BANDS, ROWS = 64, 16, 4
 FLOOR = 0.56
-FINE, FINE_FLOOR, BLOCK = 1024, 0.746, 1024
+FINE, FINE_FLOOR, SURE, BLOCK = 1024, 0.746, 0.84, 256
 WORD = re.compile(r"[^\W_]+")
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -155,7 +165,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(texts: list[str]) -> list:
         words = [words_of(t) for t in texts]
-        digests = [hashlib.blake2b(" ".join(w).encode(), digest_size=16).digest() for w in words]
+        digests = [hashlib.blake2b(" ".join(w).encode("utf-8", "replace"), digest_size=16).digest() for w in words]
         doc, element, weight = shingles(words)
         rows = signatures(doc, element, weight, len(texts)).astype("<u4")
         has = np.bincount(doc, minlength=len(texts)) > 0
@@ -174,26 +184,16 @@ def fine_slots(texts: DataFrame) -> DataFrame:
     return map_texts(texts, "id", "text", T.StructType([T.StructField("fine", T.BinaryType())]), lambda: run)
 
 
-def close_within(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a band with different roots and close fine slots, from ``rows`` (band, id, root, n, fine), n the rows of the band."""
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """``rows`` (band, id, n, ...), n the rows of the band, with own (block of the row) and once for each pair (i, j) of blocks that it is in."""
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), parts).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(j, own).alias("i"), F.greatest(j, own).alias("j")))
-    rows = rows.select("band", "id", "root", "fine", own.alias("own"), F.explode(blocks).alias("pair")).select("band", "pair.i", "pair.j", "own", "id", "root", "fine")
-    schema = T.StructType([T.StructField("a", rows.schema["id"].dataType), T.StructField("b", rows.schema["id"].dataType)])
-    arrow = to_arrow_schema(schema)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
+    return rows.withColumn("pair", F.explode(pairs)).select("*", "pair.i", "pair.j").drop("pair", "n")
+
 
-    def pairs(block: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, own = block.column("id").to_pylist(), block.column("own").to_numpy()
-        root = np.unique(np.array(block.column("root").to_pylist(), object), return_inverse=True)[1]
-        fine = np.frombuffer(b"".join(block.column("fine").to_pylist()), np.uint8).reshape(len(ids), FINE)
-        crossing = block.column("i")[0] != block.column("j")[0]
-        for k in range(len(ids) - 1):
-            other = np.flatnonzero((root[k + 1 :] != root[k]) & ((own[k + 1 :] != own[k]) | (not crossing))) + k + 1
-            near = other[np.count_nonzero(fine[other] == fine[k], axis=1) >= int(FINE_FLOOR * FINE)]
-            if len(near):
-                ends = [(min(ids[k], ids[o]), max(ids[k], ids[o])) for o in near]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*ends, strict=True), arrow, strict=True)], schema=arrow)
+def compared(rows: DataFrame, out: T.StructType, compare) -> DataFrame:
+    """``compare(block)``, an iterator of batches, of each whole block (band, i, j) of ``rows``; a task holds one block at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the block that is not yet whole
@@ -205,15 +205,103 @@ def close_within(rows: DataFrame) -> DataFrame:
             edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if held and tuple(keys[a]) != last:
-                    yield from pairs(pa.Table.from_batches(held))
+                    yield from compare(pa.Table.from_batches(held))
                     held = []
                 held.append(batch.slice(a, b - a))
                 last = tuple(keys[a])
         if held:
-            yield from pairs(pa.Table.from_batches(held))
+            yield from compare(pa.Table.from_batches(held))
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j", "id").mapInArrow(run, out)
+
+
+class Block:
+    """Classes of one pair of blocks: their slots, and the sets that they form so far."""
+
+    def __init__(self, block: pa.Table) -> None:
+        self.ids, self.own = block.column("id").to_pylist(), block.column("own").to_numpy()
+        self.sets = np.unique(np.array(block.column("root").to_pylist(), object), return_inverse=True)[1]
+        self.fine = np.frombuffer(b"".join(block.column("fine").to_pylist()), np.uint8).reshape(len(self.ids), FINE)
+        self.crossing = block.column("i")[0].as_py() != block.column("j")[0].as_py()
+
+    def near(self, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Later classes in other sets that agree with k in ``least`` of the slots or more, and in how many. Pairs of one block count where it meets itself."""
+        other = np.flatnonzero((self.sets[k + 1 :] != self.sets[k]) & ((self.own[k + 1 :] != self.own[k]) | (not self.crossing))) + k + 1
+        equal = np.count_nonzero(self.fine[other] == self.fine[k], axis=1)
+        close = equal >= int(least * FINE)
+        return other[close], equal[close]
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b were in different sets; they are in one now."""
+        if self.sets[a] == self.sets[b]:
+            return False
+        self.sets[self.sets == self.sets[b]] = self.sets[a]
+        return True
+
+    def edges(self, joined: list[tuple[int, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        if joined:
+            ends = [sorted((self.ids[a], self.ids[b])) for a, b in joined]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*ends, strict=True), schema, strict=True)], schema=schema)
+
+
+EDGE = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+
+
+def sure_forest(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) that span the pairs of a band with different roots and an estimate of SURE or more, from ``rows`` (band, id, root, fine, own, i, j)."""
+    schema = to_arrow_schema(EDGE)
+
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        block = Block(table)
+        joined = [(k, o) for k in range(len(block.ids) - 1) for o in block.near(k, SURE)[0].tolist() if block.join(k, o)]
+        yield from block.edges(joined, schema)
+
+    return compared(rows, EDGE, compare).distinct()
 
-    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
-    return dealt.mapInArrow(run, schema).distinct()
+
+def undecided(rows: DataFrame) -> DataFrame:
+    """The ``rows`` that have a close partner with another root in their pair of blocks."""
+    schema = T.StructType([rows.schema[c] for c in ("band", "i", "j", "id")])
+    arrow = to_arrow_schema(schema)
+
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        block, found = Block(table), set()
+        for k in range(len(block.ids) - 1):
+            near = block.near(k, FINE_FLOOR)[0].tolist()
+            found.update(near, [k] if near else [])
+        if found:
+            yield from table.select(arrow.names).take(pa.array(sorted(found))).cast(arrow).to_batches()
+
+    return rows.join(cut(compared(rows, schema, compare)), ["band", "i", "j", "id"], "left_semi")
+
+
+def verified_within(rows: DataFrame) -> DataFrame:
+    """Links (a, b) that join all classes of a pair of blocks which links of similarity SIMILARITY join, from ``rows`` with text."""
+    schema = to_arrow_schema(EDGE)
+
+    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        block, texts = Block(table), table.column("text").to_pylist()
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def content(k: int) -> tuple[np.ndarray, np.ndarray]:
+            if k not in held:
+                held[k] = shingles([words_of(texts[k])])[1:]
+            return held[k]
+
+        # The closest pairs first: what they join need not be looked at again.
+        near = [(k, *block.near(k, FINE_FLOOR)) for k in range(len(block.ids) - 1)]
+        left = np.repeat([k for k, _, _ in near], [len(o) for _, o, _ in near])
+        right, equal = (np.concatenate([x[c] for x in near]) if near else np.empty(0, int) for c in (1, 2))
+        joined = []
+        for k in np.argsort(-equal, kind="stable").tolist():
+            a, b = int(left[k]), int(right[k])
+            if block.sets[a] != block.sets[b] and probability_jaccard(content(a), content(b)) >= SIMILARITY - 1e-9:
+                block.join(a, b)
+                joined.append((a, b))
+        yield from block.edges(joined, schema)
+
+    return compared(rows, EDGE, compare).distinct()
 
 
 def equal_slots(a: F.Column, b: F.Column) -> F.Column:
@@ -238,59 +326,73 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per distinct id: id, class_id (smallest id of the equal word sequence), group_id (smallest id of the component), kept, n_links (verified links of the class found through the bands)."""
-    drawn = cut(sketches(docs, id_col, text_col).withColumnRenamed(id_col, "id").where(F.col("id").isNotNull()))
-    low = cut(drawn.groupBy("words").agg(F.min("id").alias("class_id"), F.min("slots").alias("slots")))
-    member = drawn.select("id", "words").distinct().join(low.select("words", "class_id"), "words").groupBy("id").agg(F.min("class_id").alias("class_id"))
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text_hash, class_id, group_id and kept, one row per distinct id and word sequence."""
+    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+    keyed = docs.where(F.col(quoted(id_col)).isNotNull()).select(F.struct(F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("text_hash")).alias("key"), text.alias("text"))
+    drawn = cut(sketches(keyed, "key", "text"))
     # Tables that a hot key is joined to are cut, so that the optimizer can split the join.
-    classes = cut(low.where(F.col("slots").isNotNull()).select(F.col("class_id").alias("id"), "slots").dropDuplicates(["id"]))
+    low = cut(drawn.groupBy("words").agg(F.min("key").alias("first"), F.min("slots").alias("slots")))
+    classes = low.where(F.col("slots").isNotNull()).select(F.col("words").alias("id"), "slots")
     band = lambda k: F.xxhash64(F.lit(k), F.substring("slots", k * ROWS * 4 + 1, ROWS * 4))
     banded = classes.select("id", F.explode(F.array(*(band(k) for k in range(BANDS)))).alias("band"))
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    shared = cut(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"))
+    banded = cut(banded.join(shared, "band", "left_semi"))
+    # The texts of classes that share a band, read once for all that follows.
+    firsts = low.join(banded.select("id").distinct(), F.col("words") == F.col("id"), "left_semi").select(F.col("words").alias("id"), F.col("first").alias("key"))
+    texts = cut(keyed.join(firsts, "key").select("id", "text").dropDuplicates(["id"]))
 
     def starred(rows: DataFrame) -> DataFrame:
         """(band, a, b): each class with the smallest of its band."""
         least = rows.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         return rows.join(least, "band").where(F.col("id") > F.col("a")).select("band", "a", F.col("id").alias("b"))
 
-    def linked(stars: DataFrame) -> DataFrame:
-        """Distinct pairs with ``ok``; pairs far from SIMILARITY by their slots are not read."""
-        pairs = stars.select("a", "b").distinct()
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The links among distinct pairs (a, b); pairs far from SIMILARITY by their slots are not read."""
         slots = lambda c: classes.select(F.col("id").alias(c), F.col("slots").alias(f"slots_{c}"))
         close = pairs.join(slots("b"), "b").join(slots("a"), "a").where(equal_slots(F.col("slots_a"), F.col("slots_b")) >= int(FLOOR * SLOTS)).select("a", "b")
-        close = cut(close)
-        needed = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        read = cut(texts.join(needed, "id", "left_semi").dropDuplicates(["id"]))
-        return cut(verified(close, read).where("ok").select("a", "b"))
+        return cut(verified(cut(close), texts).where("ok").select("a", "b"))
+
+    def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """``rows`` (band, id) of the bands that hold different roots, with root and n, the rows of the band."""
+        rows = rows.join(roots, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+        bands = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "n")
+        return cut(rows.join(cut(bands), "band"))
 
     first = cut(starred(banded))
-    links = linked(first)
+    links = linked(first.select("a", "b").distinct())
     left = first.join(links, ["a", "b"], "left_anti").select("band", F.col("b").alias("id"))
     again = cut(starred(left))
     second = again.join(links, ["a", "b"], "left_anti")
-    links = links.unionByName(linked(second)).distinct()
-    links = cut(links)
+    links = cut(links.unionByName(linked(second.select("a", "b").distinct())).distinct())
     roots = components(links)
-    # What is left of each band: neither end of a star, in buckets that hold different components.
-    last = again.join(links, ["a", "b"], "left_anti").select("band", F.col("b").alias("id"))
-    last = last.join(roots, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    apart = last.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "n")
-    last = cut(last.join(cut(apart), "band"))
+    # What is left of each band: neither end of a star.
+    last = apart(again.join(links, ["a", "b"], "left_anti").select("band", F.col("b").alias("id")), roots)
     if not last.isEmpty():
-        read = texts.join(last.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-        more = linked(close_within(last.join(cut(fine_slots(read)), "id")))
+        fine = cut(fine_slots(texts.join(last.select("id").distinct(), "id", "left_semi")))
+        more = linked(sure_forest(blocks_of(last.join(fine, "id"))))
+        links = cut(links.unionByName(more).distinct())
+        roots = components(links)
+        last = apart(last.select("band", "id"), roots)
+        open_rows = cut(undecided(blocks_of(last.join(fine, "id"))))
+        more = cut(verified_within(open_rows.join(texts, "id")))
         if not more.isEmpty():
-            links = cut(links.unionByName(more).distinct())
-            roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    out = member.join(roots, F.col("class_id") == F.col("node"), "left").drop("node").join(degree, F.col("class_id") == F.col("node"), "left")
-    group = F.coalesce("root", "class_id")
-    return out.select(F.col("id").alias(id_col), "class_id", group.alias("group_id"), (F.col("id") == group).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+            roots = components(links.unionByName(more).distinct())
+    member = drawn.groupBy("words", "key.id").agg(F.min("key.text_hash").alias("text_hash"))
+    member = member.join(low.select("words", F.col("first.id").alias("class_id")), "words").join(roots, F.col("words") == F.col("node"), "left").withColumn("root", F.coalesce("root", "words")).drop("node")
+    heads = cut(low.join(roots, F.col("words") == F.col("node"), "left").groupBy(F.coalesce("root", "words").alias("root")).agg(F.min("first").alias("head")))
+    out = member.join(heads, "root")
+    return out.select("id", "text_hash", "class_id", F.col("head.id").alias("group_id"), ((F.col("id") == F.col("head.id")) & (F.col("text_hash") == F.col("head.text_hash"))).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per distinct id (and word sequence, should an id have several): id, class_id (smallest id of the equal word sequence), group_id (smallest id of the component), kept."""
+    return grouped(docs, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "group_id", "kept")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that represent their group, once each; rows without an id stay."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"))
-    stay = docs.join(kept, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
-    return stay.unionByName(docs.where(F.col(id_col).isNull()))
+    kept = grouped(docs, id_col, text_col).where("kept").select("id", "text_hash")
+    text = F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+    stay = packed(docs, id=F.col(quoted(id_col)), text_hash=F.xxhash64(text)).join(kept, ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"])
+    return stay.select("row.*").unionByName(docs.where(F.col(quoted(id_col)).isNull()))

@@ -91,11 +91,43 @@ def test_exact_similarity():
 def test_near_duplicates_of_hard_rows(spark):
     text = " ".join(f"w{i}" for i in range(300))
     rows = [(1, None), (2, ""), (3, "..."), (4, "one two"), (5, "One, two!"), (6, text), (7, text + " more"), (8, text.replace("w5 ", "x5 ")), (9, "one three"), (9, "one three"), (10, "w " * 50_000), (None, text)]
-    df = spark.createDataFrame([(i, t, "c", "r") for i, t in rows], "doc_id long, text string, class_id string, root string")
+    df = spark.createDataFrame([(i, t, "c", "r", 1, 2, 3) for i, t in rows], "doc_id long, text string, class_id string, root string, __id int, key int, row int")
     got = {r["doc_id"]: r["group_id"] for r in probminhash.near_duplicates(df).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 6, 9: 9, 10: 10}
-    assert sorted(r["doc_id"] or 0 for r in probminhash.keep_one(df).collect()) == [0, 1, 4, 6, 9, 10]
-    assert probminhash.near_duplicates(df.limit(0)).count() == 0
+    kept = probminhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 6, 9, 10]
+    assert {tuple(r)[2:] for r in kept.collect()} == {("c", "r", 1, 2, 3)}
+    assert probminhash.near_duplicates(df.limit(0)).count() == 0 and probminhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_one_id_with_several_texts(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, text), (1, "something else altogether that is not like it"), (2, text), (3, "something else altogether, that is not like it!"), (3, "a third text of its own, with words enough"), (1, text + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["group_id"], r["kept"]) for r in probminhash.near_duplicates(df).collect())
+    assert got.count((1, 1, True)) == 2 and got.count((1, 1, False)) == 1 and (2, 1, False) in got and (3, 1, False) in got and (3, 3, True) in got and len(got) == 6
+    kept = sorted((r["doc_id"], r["text"]) for r in probminhash.keep_one(df).collect())
+    assert len(kept) == 3 and rows[1] in kept and rows[4] in kept and kept[2] == rows[4]
+
+
+def test_a_large_family_of_near_copies_like_chains(spark, monkeypatch):
+    """Copies of copies: neighbours are alike, far ones are not; all one group, with rows in proportion to the texts at each step."""
+    r = random.Random(3)
+    texts = [[f"w{r.getrandbits(30)}" for _ in range(240)]]
+    for _ in range(500):
+        new = list(texts[r.randrange(max(0, len(texts) - 40), len(texts))])
+        for _ in range(4):
+            new[r.randrange(len(new))] = f"n{r.getrandbits(30)}"
+        texts.append(new)
+    sets = [(e, w) for t in texts for _, e, w in [probminhash.shingles([t])]]
+    elements = [set(e.tolist()) for e, _ in sets]
+    near = [(a, b) for b in range(len(sets)) for a in range(b) if len(elements[a] & elements[b]) > 150 and probminhash.probability_jaccard(sets[a], sets[b]) >= 0.8]
+    want = roots(len(texts), near)
+    monkeypatch.setattr(probminhash, "BLOCK", 64)
+    got = {x["doc_id"]: x["group_id"] for x in probminhash.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    found = [got[i] for i in range(len(texts))]
+    assert [found[a] == found[b] for a, b in near].count(False) <= len(near) // 1000  # what no band pairs
+    assert all(want[got[i]] == want[i] for i in got)
 
 
 def test_large_groups_of_near_copies(spark):
