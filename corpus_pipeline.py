@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataq.llm.bpe import encode_decode
-from strataq.llm.components import checkpoint_folder
+from strataq.llm.components import shared_folder
 from strataq.llm.line_templates import drop_recurring_lines
 from strataq.llm.pfair import in_mix_order
 from strataq.llm.probminhash import keep_one
@@ -68,8 +68,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checkpoint_folder(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"  # goes with the application
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
