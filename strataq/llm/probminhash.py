@@ -21,15 +21,17 @@ dropped (an estimate under ``FLOOR`` or ``FINE_FLOOR`` happens to a pair of
 similarity 0.8 about once in a hundred thousand), the others verified exactly on
 the whole texts, and verified links joined into components.
 
-What is left of a band after that and lies in different components (families of
-texts that share much, each with many groups) is compared pair by pair, on
-``FINE`` further one-byte slots, in blocks of about ``BLOCK`` classes spread over
-tasks. Pairs are not handed on: a task tells first a spanning forest of the pairs
-whose estimate reaches ``SURE``, which are then verified like the others; and of
-what still lies in different components, a second pass verifies in the task
-itself, the closest pairs first and none that earlier ones have joined, and tells
-the links that joined. So rows stay linear in the classes, and every pair of a
-band ends in one component or is known to be no link.
+A class that links with one of a band may still link with another there. So the
+bands whose classes then lie in different components (families of texts that
+share much, each with many groups) are compared pair by pair, in blocks of about
+``BLOCK`` classes spread over tasks. Pairs are not handed on: a task tells first a
+spanning forest of the pairs whose estimate reaches ``SURE``, which are then
+verified like the others; of what still lies in different components, classes
+with a partner that reaches FLOOR, and then, on ``FINE`` further one-byte slots,
+FINE_FLOOR, go on, and a last pass verifies in the task itself, the closest pairs
+first and none that earlier ones have joined, and tells the links that joined.
+So rows stay linear in the classes, and every pair of a band ends in one
+component or is known to be no link.
 
 Words are maximal runs of letters and digits, lower case. Cases: texts of fewer
 than five words are one shingle; null, empty and wordless texts form one class
@@ -60,7 +62,7 @@ from .components import components, cut
 SHINGLE, SIMILARITY = 5, 0.8
 SLOTS, BANDS, ROWS = 64, 16, 4
 FLOOR = 0.56
-FINE, FINE_FLOOR, SURE, BLOCK = 1024, 0.746, 0.84, 256
+FINE, FINE_FLOOR, SURE, BLOCK = 1024, 0.746, 0.86, 256
 WORD = re.compile(r"[^\W_]+")
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -175,13 +177,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fine_slots(texts: DataFrame) -> DataFrame:
-    """id and fine (the low bytes of FINE slots) of ``texts`` (id, text)."""
+    """id and slots (the low bytes of FINE slots) of ``texts`` (id, text)."""
 
     def run(texts: list[str]) -> list:
         doc, element, weight = shingles([words_of(t) for t in texts])
         return [[r.tobytes() for r in signatures(doc, element, weight, len(texts), FINE).astype(np.uint8)]]
 
-    return map_texts(texts, "id", "text", T.StructType([T.StructField("fine", T.BinaryType())]), lambda: run)
+    return map_texts(texts, "id", "text", T.StructType([T.StructField("slots", T.BinaryType())]), lambda: run)
 
 
 def blocks_of(rows: DataFrame) -> DataFrame:
@@ -222,14 +224,15 @@ class Block:
     def __init__(self, block: pa.Table) -> None:
         self.ids, self.own = block.column("id").to_pylist(), block.column("own").to_numpy()
         self.sets = np.unique(np.array(block.column("root").to_pylist(), object), return_inverse=True)[1]
-        self.fine = np.frombuffer(b"".join(block.column("fine").to_pylist()), np.uint8).reshape(len(self.ids), FINE)
+        drawn = b"".join(block.column("slots").to_pylist())
+        self.slots = np.frombuffer(drawn, "<u4" if len(drawn) == len(self.ids) * SLOTS * 4 else np.uint8).reshape(len(self.ids), -1)
         self.crossing = block.column("i")[0].as_py() != block.column("j")[0].as_py()
 
     def near(self, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Later classes in other sets that agree with k in ``least`` of the slots or more, and in how many. Pairs of one block count where it meets itself."""
         other = np.flatnonzero((self.sets[k + 1 :] != self.sets[k]) & ((self.own[k + 1 :] != self.own[k]) | (not self.crossing))) + k + 1
-        equal = np.count_nonzero(self.fine[other] == self.fine[k], axis=1)
-        close = equal >= int(least * FINE)
+        equal = np.count_nonzero(self.slots[other] == self.slots[k], axis=1)
+        close = equal >= int(least * self.slots.shape[1])
         return other[close], equal[close]
 
     def join(self, a: int, b: int) -> bool:
@@ -249,7 +252,7 @@ EDGE = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.Bi
 
 
 def sure_forest(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) that span the pairs of a band with different roots and an estimate of SURE or more, from ``rows`` (band, id, root, fine, own, i, j)."""
+    """Edges (a, b) that span the pairs of a band with different roots and an estimate of SURE or more, from ``rows`` (band, id, root, slots, own, i, j)."""
     schema = to_arrow_schema(EDGE)
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -260,20 +263,20 @@ def sure_forest(rows: DataFrame) -> DataFrame:
     return compared(rows, EDGE, compare).distinct()
 
 
-def undecided(rows: DataFrame) -> DataFrame:
-    """The ``rows`` that have a close partner with another root in their pair of blocks."""
+def undecided(rows: DataFrame, least: float) -> DataFrame:
+    """Those of ``rows`` (band, i, j, id) that have a partner with another root and an estimate of ``least`` or more in their pair of blocks."""
     schema = T.StructType([rows.schema[c] for c in ("band", "i", "j", "id")])
     arrow = to_arrow_schema(schema)
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
         block, found = Block(table), set()
         for k in range(len(block.ids) - 1):
-            near = block.near(k, FINE_FLOOR)[0].tolist()
+            near = block.near(k, least)[0].tolist()
             found.update(near, [k] if near else [])
         if found:
             yield from table.select(arrow.names).take(pa.array(sorted(found))).cast(arrow).to_batches()
 
-    return rows.join(cut(compared(rows, schema, compare)), ["band", "i", "j", "id"], "left_semi")
+    return cut(compared(rows, schema, compare))
 
 
 def verified_within(rows: DataFrame) -> DataFrame:
@@ -366,16 +369,17 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     second = again.join(links, ["a", "b"], "left_anti")
     links = cut(links.unionByName(linked(second.select("a", "b").distinct())).distinct())
     roots = components(links)
-    # What is left of each band: neither end of a star.
-    last = apart(again.join(links, ["a", "b"], "left_anti").select("band", F.col("b").alias("id")), roots)
+    last = apart(banded, roots)
     if not last.isEmpty():
-        fine = cut(fine_slots(texts.join(last.select("id").distinct(), "id", "left_semi")))
-        more = linked(sure_forest(blocks_of(last.join(fine, "id"))))
+        more = linked(sure_forest(blocks_of(last.join(classes, "id"))))
         links = cut(links.unionByName(more).distinct())
         roots = components(links)
-        last = apart(last.select("band", "id"), roots)
-        open_rows = cut(undecided(blocks_of(last.join(fine, "id"))))
-        more = cut(verified_within(open_rows.join(texts, "id")))
+        last = blocks_of(apart(last.select("band", "id"), roots))
+        rough = undecided(last.join(classes, "id"), FLOOR)
+        fine = cut(fine_slots(texts.join(rough.select("id").distinct(), "id", "left_semi")))
+        last = cut(last.join(rough, ["band", "i", "j", "id"], "left_semi").join(fine, "id"))
+        close = undecided(last, FINE_FLOOR)
+        more = cut(verified_within(last.join(close, ["band", "i", "j", "id"], "left_semi").join(texts, "id")))
         if not more.isEmpty():
             roots = components(links.unionByName(more).distinct())
     member = drawn.groupBy("words", "key.id").agg(F.min("key.text_hash").alias("text_hash"))
