@@ -187,11 +187,22 @@ def fine_slots(texts: DataFrame) -> DataFrame:
 
 
 def blocks_of(rows: DataFrame) -> DataFrame:
-    """``rows`` (band, id, n, ...), n the rows of the band, with own (block of the row) and once for each pair (i, j) of blocks that it is in."""
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    return rows.withColumn("pair", F.explode(pairs)).select("*", "pair.i", "pair.j").drop("pair", "n")
+    """``rows`` (band, id, root, n, top, ...), n the rows of the band and top the root that most of them have, with own (block of the row) and once for each pair (i, j) of blocks that it is in.
+
+    Rows of the top root need no comparison with each other: their blocks meet
+    those of the other rows only. So a band costs the rows of its top root times
+    the blocks of the others, not the square of all.
+    """
+    sizes = rows.groupBy("band").agg(F.sum((F.col("root") != F.col("top")).cast("int")).alias("others"))
+    rows = rows.join(cut(sizes), "band")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    few, many = blocks(F.col("others")), blocks(F.col("n") - F.col("others"))
+    small, main = F.col("n") <= BLOCK, F.col("root") == F.col("top")
+    rows = rows.withColumn("own", F.when(small, 0).when(main, few + place(many)).otherwise(place(few)))
+    partners = F.when(small, 1).when(main, few).otherwise(few + many)
+    pairs = F.transform(F.sequence(F.lit(0), partners - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
+    return cut(rows.withColumn("pair", F.explode(pairs)).select("*", "pair.i", "pair.j").drop("pair", "n", "top", "others"))
 
 
 def compared(rows: DataFrame, out: T.StructType, compare) -> DataFrame:
@@ -357,9 +368,10 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return cut(verified(cut(close), texts).where("ok").select("a", "b"))
 
     def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        """``rows`` (band, id) of the bands that hold different roots, with root and n, the rows of the band."""
+        """``rows`` (band, id) of the bands that hold different roots, with root, n, the rows of the band, and top, the root that most of them have."""
         rows = rows.join(roots, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-        bands = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "n")
+        sizes = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+        bands = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
         return cut(rows.join(cut(bands), "band"))
 
     first = cut(starred(banded))
@@ -371,7 +383,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     roots = components(links)
     last = apart(banded, roots)
     if not last.isEmpty():
-        more = linked(sure_forest(blocks_of(last.join(classes, "id"))))
+        more = linked(sure_forest(blocks_of(last).join(classes, "id")))
         links = cut(links.unionByName(more).distinct())
         roots = components(links)
         last = blocks_of(apart(last.select("band", "id"), roots))
