@@ -29,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._batches import packed, quoted
 from .components import cut
 
 MIN_TOKENS, LEAD, PARTS, MERGE_TOKENS = 3, 3, 4, 12
@@ -45,7 +46,7 @@ def masked(text: Column) -> Column:
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per line that can be a template: id, hash of the text, line number and the hashes of TEMPLATE."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text"), masked(F.col(text_col)).alias("__flat"))
+    rows = docs.where(F.col(quoted(text_col)).isNotNull()).select(F.col(quoted(id_col)).alias("__id"), F.xxhash64(quoted(text_col)).alias("__text"), masked(F.col(quoted(text_col))).alias("__flat"))
     rows = rows.select("__id", "__text", F.posexplode(F.split("__flat", "\n", -1)).alias("__at", "__raw")).withColumn("__raw", F.btrim("__raw"))
     rows = rows.withColumn("__n", F.length("__raw") - F.length(F.replace(F.col("__raw"), F.lit(" "), F.lit(""))) + 1).where(F.col("__n") >= MIN_TOKENS)
     edge = lambda k: F.floor((F.col("__n") - LEAD) * k / PARTS).cast("int") + LEAD
@@ -88,19 +89,20 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A column n_chars, if there, is set to the new length.
     """
     gone = dropped_lines(docs, id_col, text_col)
-    keyed = docs.withColumn("__key", F.xxhash64(text_col))
-    joined = keyed.join(gone, (F.col(id_col) == F.col("__id")) & (F.col("__key") == F.col("__text")), "left")
-    parts = F.split(text_col, "\n", -1)
-    lost = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone")), lambda k: F.get(F.col("__parts"), k)), "\n")
-    out = joined.withColumn("__parts", F.when(F.col("__gone").isNotNull(), parts))
-    new = {text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)}
+    text = F.col(quoted(text_col))
+    rows = packed(docs, id=F.col(quoted(id_col)), text=text, key=F.xxhash64(text))
+    joined = rows.join(gone, (F.col("id") == F.col("__id")) & (F.col("key") == F.col("__text")), "left")
+    joined = joined.withColumn("parts", F.when(F.col("__gone").isNotNull(), F.split("text", "\n", -1)))
+    whole = F.col("__gone").isNull()
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("__gone")), lambda k: F.get(F.col("parts"), k)), "\n")
+    joined = joined.withColumn("new", F.when(whole, F.col("text")).otherwise(kept))
+    of = {c: F.col(f"row.{quoted(c)}") for c in docs.columns} | {text_col: F.col("new")}
+    if "n_chars" in of and text_col != "n_chars":
+        of["n_chars"] = F.when(whole, of["n_chars"]).otherwise(F.length("new")).cast(docs.schema["n_chars"].dataType)
     if counts:
-        new |= {"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(parts)).cast("long"), "n_dropped": lost.cast("long")}
-    out = out.withColumns(new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, *(["n_lines", "n_dropped"] if counts else []))
+        of["n_lines"] = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+        of["n_dropped"] = F.when(whole, 0).otherwise(F.size("__gone")).cast("long")
+    return joined.select(*(c.alias(name) for name, c in of.items()))
 
 
 #: The same rules for DuckDB over the table ``documents``; strings take the place of hashes.

@@ -355,7 +355,7 @@ def test_line_templates(spark):
     prose = lambda k: " ".join(f"{w}{'xyz'[k % 3]}" for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split())
     long = "This work is given to all who want to read it at home or away by {} and friends today"
     texts = ["Page 1 of 20\nown line one here", "Page 2 of 20\nown line two there", "own\n\n \nAll rights reserved.\tYes", "All  rights reserved. Yes\nAll rights reserved. Yes", None, "", long.format("Ann"), long.format("Bob"), prose(0), prose(1), "the same text\nwhole copy", "the same text\nwhole copy", "a b\nc d", "a b\nc d e", "x" * 60_000 + " y z\n" + "1" * 60_000]
-    got = same_as_sql(spark, spark.createDataFrame([(i, t, 0, 7) for i, t in enumerate(texts)], "doc_id long, text string, n_dropped int, __n int").drop("__n"))
+    got = same_as_sql(spark, spark.createDataFrame([(i, t, 0, 7) for i, t in enumerate(texts)], "doc_id long, text string, n_dropped int, __n int").drop("__n").withColumns({c: F.lit(c) for c in ("__id", "__text", "row", "key", "parts")}))
     assert got[0] == texts[0] and got[1] == "own line two there" and got[2] == texts[2] and got[3] == "" and got[4] is None and got[5] == ""
     assert got[6] == texts[6] and got[7] == "" and got[8] == texts[8] and got[9] == texts[9] and got[10] == got[11] == texts[10]
 
@@ -470,14 +470,38 @@ def test_mix_of_hard_rows(spark):
 
 
 def test_pipeline(spark):
+    """Rows, columns and the share of documents that each stage keeps."""
     pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    got = pipeline.run(spark, "/root/testdata/sf0.001")
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert [n for n, _ in pipeline.STAGES] == ["quality_classifier", "line_dedup", "near_dedup", "mixing", "bpe"]
-    assert got.columns[: len(docs.columns)] == docs.columns and 0 < got.count() <= docs.count()
+    n = docs.count()
+    good = pipeline.quality(spark, docs, folder)
+    kept = good.count()
+    assert good.columns == docs.columns and 0.83 < kept / n < 0.91
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1")
+    assert good.join(labels, "doc_id").count() / docs.join(labels, "doc_id").count() > 0.97
+    got = pipeline.run(spark, folder)
+    assert got.columns == [*docs.columns, *pipeline.ADDED] and 0.6 * kept < got.count() <= kept
     assert got.select("doc_id").distinct().count() == got.count()
 
 
+def test_pipeline_of_empty_and_hard_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
+    source.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    hard = source.limit(20).unionByName(source.limit(3)).unionByName(spark.createDataFrame([(None, None, None, None, None), (10**9, "", "", "", 0), (10**9, "word " * 30_000, None, "x", 5)], source.schema))
+    for c in ("row", "__row", "__id", "__score", "ids", "key", "file", "position", "a.b"):
+        hard = hard.withColumn(c, F.lit(c))
+    hard.write.parquet(f"{tmp_path}/hard/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{tmp_path}/hard/labels.parquet")
+    got = pipeline.run(spark, f"{tmp_path}/hard")
+    assert set(hard.columns) | set(pipeline.ADDED) == set(got.columns) and got.where("__score <> '__score' OR row <> 'row' OR `a.b` <> 'a.b'").count() == 0
+    assert sorted(r["position"] for r in got.collect()) == list(range(got.count()))
+
+
 def test_pipeline_keeps_the_order_of_the_mix(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     got = pipeline.run(spark, "/root/testdata/sf0.001").select("position", "doc_id", "source").collect()
@@ -490,4 +514,4 @@ def test_positions_follow_files_of_differing_size(spark, tmp_path):
     rows = spark.range(5000).selectExpr("id", "repeat(uuid(), int(10000 / (id + 1))) AS text")
     rows.repartitionByRange(7, "id").sortWithinPartitions("id").write.parquet(f"{tmp_path}/x")
     got = pytest.importorskip("corpus_pipeline").positioned(spark.read.parquet(f"{tmp_path}/x"))
-    assert got.count() == 5000 and got.where("position <> id").count() == 0
+    assert got.count() == 5000 and got.where("position <> row.id").count() == 0
