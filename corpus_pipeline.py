@@ -4,7 +4,8 @@ STAGES lists (name, function); a function takes (spark, docs, sf_dir). run()
 applies them in order. All stages but the last return the columns of documents.
 Files are read again in any order, so the last stage takes the order of the mix
 from the names and row numbers of the files it reads and hands it on as
-``position``.
+``position``. Nulls, empty and repeated rows are treated as each operator says;
+an empty table gives an empty result with the same columns.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataq.llm._batches import packed, quoted
 from strataq.llm.bpe import encode_decode
 from strataq.llm.components import shared_folder
 from strataq.llm.line_templates import drop_recurring_lines
@@ -44,21 +46,26 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def positioned(docs: DataFrame) -> DataFrame:
-    """``docs``, read from Parquet files, with the place of each row in the order in which they were written as ``position``."""
-    named = docs.withColumns({"__file": F.col("_metadata.file_name"), "__at": F.col("_metadata.row_index")})
-    sizes = named.groupBy("__file").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy(F.regexp_extract("__file", r"part-(\d+)", 1).try_cast("long"), "__file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))  # one row per file
-    return named.join(F.broadcast(offsets), "__file").withColumn("position", F.col("__before") + F.col("__at")).drop("__file", "__at", "__before")
+    """``row`` (the columns of ``docs``, read from Parquet files) and ``position``, the place of the row in the order in which the files were written."""
+    meta = docs.metadataColumn("_metadata")
+    named = packed(docs, file=meta["file_name"], at=meta["row_index"])
+    sizes = named.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).try_cast("long"), "file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # one row per file
+    return named.join(F.broadcast(offsets), "file").select("row", (F.col("before") + F.col("at")).alias("position"))
+
+
+#: What the last stage adds; input columns of these names are replaced.
+ADDED = ("position", "ids", "n_tokens", "decoded_sha256")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents, the position in the mix, the token ids (little-endian unsigned 32-bit integers), their number and the digest of the decoded text; in the order of the mix."""
-    rest = [*(c for c in docs.columns if c not in ("position", "ids", "n_tokens", "decoded_sha256")), "position"]
+    """The columns of documents and ADDED: the position in the mix, the token ids (little-endian unsigned 32-bit integers), their number and the digest of the decoded text; in the order of the mix."""
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = positioned(docs).repartitionByRange(parts, "position").sortWithinPartitions("position")
-    told = encode_decode(docs.select(F.struct(*rest).alias("__row"), "text"), public_tokenizers.path("byte_bpe_50k.json"), "__row")
-    return told.select("__row.*", "ids", "n_tokens", F.sha2("decoded", 256).alias("decoded_sha256"))
+    placed = positioned(docs).repartitionByRange(parts, "position").sortWithinPartitions("position")
+    told = encode_decode(placed.select(F.struct("row", "position").alias("key"), F.col("row.text").alias("text")), public_tokenizers.path("byte_bpe_50k.json"), "key")
+    kept = [F.col(f"key.row.{quoted(c)}") for c in docs.columns if c not in ADDED]
+    return told.select(*kept, "key.position", "ids", "n_tokens", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality_classifier", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("bpe", encoding)]
