@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import base64
+import io
 import json
-import tempfile
-from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .operators.commit import Commitment, InclusionProof, commit_jsonl, commit_records, verify_disclosure, verify_inclusion
-from .operators.search import search as search_rows
 from .operators.security import AuditChain, seal, unseal
 from .plans import archive
 
-__all__ = ["AuditChain", "Commitment", "InclusionProof", "commit_jsonl", "commit_records", "compress", "compress_encrypted", "compress_records", "decompress", "decompress_encrypted", "inclusion_proof", "search", "secure_audit_log", "verify_disclosure", "verify_inclusion"]
+__all__ = ["AuditChain", "Commitment", "InclusionProof", "commit_jsonl", "commit_records", "compress", "compress_encrypted", "compress_records", "decompress", "decompress_encrypted", "explain_search", "inclusion_proof", "search", "secure_audit_log", "verify_disclosure", "verify_inclusion"]
 
 LEAST, MOST = -(2**63), 2**63 - 1
 
@@ -43,12 +43,17 @@ def as_cell(value, kind: T.DataType):
     return value
 
 
+def frame_schema(records: list[dict]) -> T.StructType:
+    """Columns in first-seen order."""
+    names = list(dict.fromkeys(k for r in records for k in r))
+    return T.StructType([T.StructField(n, column_type([r.get(n) for r in records])) for n in names])
+
+
 def frame(spark: SparkSession, records: list[dict]) -> DataFrame:
     """Records as rows; columns in first-seen order, ``row_id`` in front."""
-    names = list(dict.fromkeys(k for r in records for k in r))
-    kinds = {n: column_type([r.get(n) for r in records]) for n in names}
-    schema = T.StructType([T.StructField("row_id", T.LongType()), *(T.StructField(n, kinds[n]) for n in names)])
-    return spark.createDataFrame([(i, *(as_cell(r.get(n), kinds[n]) for n in names)) for i, r in enumerate(records)], schema)
+    kinds = frame_schema(records)
+    schema = T.StructType([T.StructField("row_id", T.LongType()), *kinds])
+    return spark.createDataFrame([(i, *(as_cell(r.get(f.name), f.dataType) for f in kinds)) for i, r in enumerate(records)], schema)
 
 
 def compress_records(spark: SparkSession, records: list[dict], path: str, mode: str = "fast") -> dict:
@@ -73,7 +78,12 @@ def decompress(spark: SparkSession, path: str) -> DataFrame:
 
 
 def search(spark: SparkSession, path: str, query: str, mode: str = "contains") -> DataFrame:
-    return search_rows(archive.read(spark, path), query, mode)
+    return archive.search(spark, path, query, mode)
+
+
+def explain_search(spark: SparkSession, path: str, query: str, mode: str = "contains") -> archive.Plan:
+    """Columns and blocks that a search tests and skips."""
+    return archive.planned(spark, path, query, mode)[1]
 
 
 def inclusion_proof(commitment: Commitment, name: str) -> InclusionProof:
@@ -81,21 +91,19 @@ def inclusion_proof(commitment: Commitment, name: str) -> InclusionProof:
 
 
 def compress_encrypted(spark: SparkSession, records: list[dict], secret: str | None, tenant: str, with_root: bool = True) -> bytes:
-    """One envelope for a bounded batch of records; its authenticated metadata carry the commitment root."""
-    with tempfile.TemporaryDirectory() as folder:
-        compress_records(spark, records, f"{folder}/a", "max")
-        files = {str(p.relative_to(folder)): base64.b64encode(p.read_bytes()).decode() for p in sorted(Path(folder).rglob("*")) if p.is_file()}
-    return seal(spark, json.dumps(files).encode(), secret, tenant, {"root": commit_records(records).root} if with_root else None)
+    """One envelope for a bounded batch of records, packed in memory; its authenticated metadata carry the commitment root."""
+    schema = frame_schema(records)
+    columns = [[as_cell(r.get(f.name), f.dataType) for r in records] for f in schema]
+    packed = io.BytesIO()
+    pq.write_table(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(schema), strict=True)], schema=to_arrow_schema(schema)), packed, compression="zstd", compression_level=archive.LEVELS["max"])
+    data = len(records).to_bytes(8) + packed.getvalue()
+    return seal(spark, data, secret, tenant, {"root": commit_records(records).root} if with_root else None)
 
 
 def decompress_encrypted(spark: SparkSession, envelope: bytes, secret: str | None, tenant: str, return_meta: bool = False):
     data, meta = unseal(spark, envelope, secret, tenant)
-    with tempfile.TemporaryDirectory() as folder:
-        for name, text in json.loads(data).items():
-            (p := Path(folder, name)).parent.mkdir(parents=True, exist_ok=True)
-            p.write_bytes(base64.b64decode(text))
-        rows = archive.read(spark, f"{folder}/a", verify=True).orderBy("row_id").drop("row_id").collect()
-    records = [{k: v for k, v in r.asDict().items() if v is not None} for r in rows]
+    rows = pq.read_table(io.BytesIO(data[8:])).to_pylist() or [{}] * int.from_bytes(data[:8])
+    records = [{k: v for k, v in r.items() if v is not None} for r in rows]
     return (records, meta) if return_meta else records
 
 

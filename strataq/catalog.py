@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +41,7 @@ def search_any_column(spark, d):
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey = 42 OR o_custkey = 42 OR o_orderstatus = '42' OR o_orderpriority = '42'")
 def search_compat_modes(spark, d):
-    orders = table(spark, d, "orders").drop("o_totalprice", "o_orderdate")
+    orders = table(spark, d, "orders")
     modes = {r["column"]: r["mode"] for r in profile.encoding_profile(orders).collect()}  # one row per column
     return search.search(orders, "42", "compat", "o_orderkey", modes)
 
@@ -119,25 +120,26 @@ def grep_json(spark, d):
 
 @query("SELECT count(*) FILTER (f AND t) AS true_positive, count(*) FILTER (f AND NOT t) AS false_positive, count(*) FILTER (t AND NOT f) AS false_negative, count(*) FILTER (f <> t) = 0 AS exact FROM (SELECT coalesce(event_id = 7 OR user_id = 7 OR contains(event_type, '7') OR contains(props, '7') OR value = 7, false) AS f, user_id = 7 AS t FROM events)")
 def grep_quality(spark, d):
-    events = table(spark, d, "events").drop("ts")
+    events = table(spark, d, "events")
     return search.quality(search.search(events, "7"), events.where("user_id = 7"), "event_id")
 
 
 # --- columns and encodings ------------------------------------------------
 
 ZONES = {
-    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string",
+    "l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp_ntz",
 }
 
 
 def _zone_sql(c: str, kind: str) -> str:
-    bound = lambda f: f"CAST(CAST(round({f}({c}), 2) AS DECIMAL(18,2)) AS VARCHAR)" if kind == "double" else f"CAST({f}({c}) AS VARCHAR)"
-    return f"SELECT '{c}' AS \"column\", '{kind}' AS type, count(*) AS n, count(*) - count({c}) AS nulls, {bound('min')} AS low, {bound('max')} AS high FROM lineitem"
+    own = {"bigint": "long", "int": "long", "double": "double"}.get(kind, "text")
+    bounds = ", ".join(f"{f'CAST({side}({c}) AS {sql})' if form == own else f'CAST(NULL AS {sql})'} AS {name}_{form}" for form, sql in (("long", "BIGINT"), ("double", "DOUBLE"), ("text", "VARCHAR")) for name, side in (("low", "min"), ("high", "max")))
+    return f"SELECT '{c}' AS \"column\", '{kind}' AS type, count(*) AS n, count(*) - count({c}) AS nulls, {bounds} FROM lineitem"
 
 
 @query(" UNION ALL ".join(_zone_sql(c, k) for c, k in ZONES.items()))
 def zone_map(spark, d):
-    return profile.zone_map(table(spark, d, "lineitem").select(*ZONES))
+    return profile.zone_map(table(spark, d, "lineitem"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, count(DISTINCT {c}) AS \"distinct\", min({c}) = max({c}) AS constant FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")))
@@ -254,9 +256,11 @@ def field_split(spark, d):
     return table(spark, d, "customer").drop("c_acctbal", "c_nationkey")
 
 
-@query("SELECT vec_id, CAST(pos - 1 AS INT) AS place, round(CAST(embedding[pos] AS DOUBLE), 6) AS item FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS pos FROM embeddings)")
+@query("SELECT vec_id, CAST(pos - 1 AS INT) AS place, round(CAST(embedding[pos] AS DOUBLE), 6) AS item FROM (SELECT vec_id, embedding, unnest(range(1, (SELECT max(len(embedding)) FROM embeddings) + 1)) AS pos FROM embeddings)")
 def token_sequences(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.coalesce(F.get("embedding", k).cast("double"), F.lit(-1.0)))).alias("place", "item"))
+    vectors = table(spark, d, "embeddings")
+    widest = vectors.agg(F.max(F.size("embedding"))).first()[0] or 1
+    rows = vectors.select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(widest - 1)), lambda k: F.coalesce(F.get("embedding", k).cast("double"), F.lit(-1.0)))).alias("place", "item"))
     return rows.withColumn("item", F.round("item", 6))
 
 
@@ -302,9 +306,10 @@ def template_render(spark, d):
     return _templated(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(templates.rendered() != F.col("line"), 1)).cast("int").alias("differing"))
 
 
-@query(f"SELECT md5(replace(template, chr(7), '<*>')) AS digest, row_number() OVER (ORDER BY first_row) - 1 AS template_id, first_row, n FROM (SELECT template, min(doc_id * 1048576 + line_no) AS first_row, count(*) AS n FROM {TEMPLATED} GROUP BY template)")
+@query(f"SELECT md5(replace(template, chr(7), '<*>')) AS digest, row_number() OVER (ORDER BY first_row) - 1 AS template_id, first_row, n FROM (SELECT template, min(doc_id * (SELECT max(line_no) + 1 FROM {TEMPLATED}) + line_no) AS first_row, count(*) AS n FROM {TEMPLATED} GROUP BY template)")
 def template_dictionary(spark, d):
-    rows = _templated(spark, d).withColumn("seq", F.col("doc_id") * (1 << 20) + F.col("line_no"))
+    longest = table(spark, d, "documents").agg(F.max(F.size(F.split("text", "\n", -1)))).first()[0] or 0
+    rows = _templated(spark, d).withColumn("seq", F.col("doc_id") * (longest + 1) + F.col("line_no"))
     found = ordered.first_seen(rows, ["template"], "seq", "template_id")
     return found.select(F.md5(F.replace(F.col("template"), F.lit(templates.HOLE), F.lit("<*>"))).alias("digest"), "template_id", "first_row", "n")
 
@@ -413,7 +418,7 @@ def sql_template(spark, d):
     return rows.agg(F.sum(F.size("variables")).alias("n_holes"), F.countDistinct("template").alias("n_shapes"))
 
 
-@query()
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS path, 0 AS packet, 0 AS record, s_suppkey + 167772160 AS src, s_nationkey + 3232235520 AS dst, 1 AS packets, s_suppkey + 40 AS bytes, 80 AS src_port, 443 AS dst_port, 6 AS protocol FROM supplier")
 def netflow_transpose(spark, d):
     head = "0005" + "0001" + "00" * 20
     flow = F.concat(F.lpad(F.hex(F.col("s_suppkey") + 167772160), 8, "0"), F.lpad(F.hex(F.col("s_nationkey").cast("long") + 3232235520), 8, "0"), F.lit("00" * 8), F.lit("00000001"), F.lpad(F.hex(F.col("s_suppkey") + 40), 8, "0"), F.lit("00" * 8 + "0050" + "01bb" + "00" * 2 + "06" + "00" * 9))
@@ -421,13 +426,13 @@ def netflow_transpose(spark, d):
     return binary.flows(files)
 
 
-@query()
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS path, 0 AS block_id, wide, n_name AS token FROM nation, (VALUES (true, 3), (false, 4)) AS kinds(wide, least) WHERE length(n_name) >= least")
 def evtx_lift(spark, d):
     files = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("path"), F.concat(F.unhex(F.lit("FF00FF")), F.encode("n_name", "UTF-16LE"), F.unhex(F.lit("0000FFFF")), F.encode("n_name", "UTF-8"), F.unhex(F.lit("0000"))).alias("content"))
     return binary.block_tokens(files)
 
 
-@query()
+@query("SELECT path, 0 AS block_id, count(DISTINCT token) AS n_tokens FROM (SELECT CAST(doc_id AS VARCHAR) AS path, unnest(regexp_extract_all(text, '[0-9a-fA-F]{16,}|[A-Za-z0-9+/]{20,}={0,2}|[A-Za-z0-9_]{4,}')) AS token FROM documents) GROUP BY 1")
 def universal_scan(spark, d):
     files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"))
     return binary.universal_blocks(files).groupBy("path", "block_id").agg(F.count(F.lit(1)).alias("n_tokens"))
@@ -448,18 +453,33 @@ def block_prune(spark, d):
     return index.block_report(table(spark, d, "documents"), "doc_id", "text", "license", 50)
 
 
-@query()
+PER_TOKEN = -math.log(0.01) / math.log(2) ** 2
+
+
+@query(f"SELECT block_id, m, greatest(1, CAST(floor(m / n * {math.log(2)!r}) AS INT)) AS k FROM (SELECT block_id, n, CAST(greatest(64, ceil(n * {PER_TOKEN!r})) AS BIGINT) AS m FROM (SELECT block_id, greatest(count(*), 10) AS n FROM {TOKENS} GROUP BY 1))")
 def bloom_blocks(spark, d):
-    return index.bloom_index(table(spark, d, "documents"), "doc_id", "text", 50).select("block_id", F.size("bits").alias("bits_set"))
+    """Bits and probes of the filter of each block, by its number of tokens."""
+    return index.bloom_index(table(spark, d, "documents"), "doc_id", "text", 50).select("block_id", "m", "k")
 
 
-@query("SELECT count(DISTINCT doc_id // 50) AS holding, 0 AS missed FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[0-9A-Za-z_]{4,}'), 'license')")
-def bloom_prune(spark, d):
+HOLDING = "SELECT count(DISTINCT doc_id // 50) AS holding, 0 AS missed FROM documents WHERE list_contains(regexp_extract_all(lower(text), '[0-9A-Za-z_]{4,}'), 'license')"
+
+
+def _missed(spark, d, fixed):
     """Blocks that hold the token, and how many of them the Bloom filters would have skipped."""
-    docs = table(spark, d, "documents")
-    found = index.bloom_candidates(index.bloom_index(docs, "doc_id", "text", 50), "license").withColumn("candidate", F.lit(1))
-    holding = index.token_index(docs, "doc_id", "text", 50).where("token = 'license'").select("block_id")
-    return holding.join(found, "block_id", "left").agg(F.count(F.lit(1)).alias("holding"), F.count(F.when(F.col("candidate").isNull(), 1)).cast("int").alias("missed"))
+    tokens = index.token_index(table(spark, d, "documents"), "doc_id", "text", 50)
+    found = index.bloom_candidates(index.blooms_of(tokens, fixed=fixed), "license").withColumn("candidate", F.lit(1))
+    return tokens.where("token = 'license'").select("block_id").join(found, "block_id", "left").agg(F.count(F.lit(1)).alias("holding"), F.count(F.when(F.col("candidate").isNull(), 1)).cast("int").alias("missed"))
+
+
+@query(HOLDING)
+def bloom_prune(spark, d):
+    return _missed(spark, d, None)
+
+
+@query(HOLDING)
+def bloom_fixed(spark, d):
+    return _missed(spark, d, index.FIXED_BLOOM)
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS path, CAST((length(text) - length(replace(text, 'License', ''))) / 7 AS BIGINT) AS hits FROM documents")
@@ -486,12 +506,12 @@ def delta_distribution(spark, d):
     return profile.delta_distribution(table(spark, d, "orders"), "o_orderkey", "o_custkey")
 
 
-PART_BYTES = {"p_partkey": "CAST(p_partkey AS VARCHAR)", "p_name": "p_name", "p_brand": "p_brand", "p_type": "p_type", "p_size": "CAST(p_size AS VARCHAR)"}
+PART_BYTES = {"p_partkey": "CAST(p_partkey AS VARCHAR)", "p_name": "p_name", "p_brand": "p_brand", "p_type": "p_type", "p_size": "CAST(p_size AS VARCHAR)", "p_retailprice": "CAST(CAST(round(p_retailprice, 2) AS DECIMAL(18,2)) AS VARCHAR)"}
 
 
 @query("WITH s AS (SELECT " + ", ".join(f"sum(strlen({e})) AS {c}" for c, e in PART_BYTES.items()) + " FROM part) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS BIGINT) AS bytes, round({c} / ({' + '.join(PART_BYTES)}), 6) AS share FROM s" for c in PART_BYTES))
 def column_bytes(spark, d):
-    return profile.column_bytes(table(spark, d, "part").select(*PART_BYTES))
+    return profile.column_bytes(table(spark, d, "part"))
 
 
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CASE WHEN contains(text, chr(13) || chr(10)) THEN 'crlf' WHEN contains(text, chr(10)) THEN 'lf' ELSE 'none' END AS newline, CASE WHEN strlen(text) = length(text) THEN 'ascii' ELSE 'utf-8' END AS encoding, left(hex(encode(text)), 32) AS magic, sha256(text) AS sha256 FROM documents")
@@ -608,31 +628,35 @@ def roundtrip_verify(spark, d):
     return archive.differences(events, back)
 
 
-def _prefixed(x: str) -> str:
-    """Length (seven bits a byte, up to two bytes) and bytes of a blob."""
-    n = f"octet_length({x})"
-    return f"CASE WHEN {n} < 128 THEN unhex(printf('%02x', {n})) ELSE unhex(printf('%02x%02x', ({n} & 127) | 128, {n} >> 7)) END || {x}"
+def _length(x: str) -> str:
+    """A byte length, seven bits a byte, up to four bytes."""
+    low = lambda k: f"(({x} >> {7 * k}) & 127)"
+    return f"CASE WHEN {x} < 128 THEN unhex(printf('%02x', {x})) WHEN {x} < 16384 THEN unhex(printf('%02x%02x', {low(0)} | 128, {low(1)})) WHEN {x} < 2097152 THEN unhex(printf('%02x%02x%02x', {low(0)} | 128, {low(1)} | 128, {low(2)})) ELSE unhex(printf('%02x%02x%02x%02x', {low(0)} | 128, {low(1)} | 128, {low(2)} | 128, {low(3)})) END"
 
 
-def _leaf(column: str, text: bool) -> str:
+def _leaf(table: str, key: str, column: str, text: bool) -> str:
     cell = lambda c: f"'\"' || {c} || '\"'" if text else f"CAST({c} AS VARCHAR)"
     zone = f"""'{{"count":' || count(*) || ',"max":' || {cell(f"max({column})")} || ',"min":' || {cell(f"min({column})")} || ',"nulls":0,"type":"{"str" if text else "int"}"}}'"""
-    parts = ", ".join(f"encode({x}) AS {n}" for n, x in (("a", f"'{column}'"), ("b", zone), ("c", f"'[' || string_agg({cell(column)}, ',' ORDER BY n_nationkey) || ']'")))
-    return f"SELECT '{column}' AS name, sha256(unhex('00') || {_prefixed('a')} || {_prefixed('b')} || {_prefixed('c')}) AS leaf FROM (SELECT {parts} FROM nation)"
+    parts = ", ".join(f"encode({x}) AS {n}" for n, x in (("a", f"'{column}'"), ("b", zone), ("c", f"'[' || string_agg({cell(column)}, ',' ORDER BY {key}) || ']'")))
+    return f"SELECT '{column}' AS name, sha256(unhex('00') || {' || '.join(_length(f'octet_length({n})') + ' || ' + n for n in 'abc')}) AS leaf FROM (SELECT {parts} FROM {table})"
+
+
+def _leaves(table: str, key: str, columns: dict[str, bool]) -> str:
+    return " UNION ALL ".join(_leaf(table, key, c, t) for c, t in columns.items())
 
 
-@query(" UNION ALL ".join(_leaf(c, t) for c, t in (("n_nationkey", False), ("n_name", True), ("n_regionkey", False))))
+@query(_leaves("orders", "o_orderkey", {"o_orderkey": False, "o_custkey": False, "o_orderstatus": True, "o_orderpriority": True}))
 def merkle_leaves(spark, d):
-    nation = table(spark, d, "nation").withColumn("row_id", F.col("n_nationkey"))
-    return commit.column_leaves(nation, "row_id")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return commit.column_leaves(orders, "row_id")
 
 
 @query(
-    "WITH RECURSIVE rows AS (SELECT r_regionkey AS seq, r_name AS payload FROM region), chain(seq, payload, prev, hash) AS (SELECT seq, payload, repeat('00', 32), sha256(seq || '|' || payload || '|' || repeat('00', 32)) FROM rows WHERE seq = 0 UNION ALL SELECT r.seq, r.payload, c.hash, sha256(r.seq || '|' || r.payload || '|' || c.hash) FROM chain c JOIN rows r ON r.seq = c.seq + 1) SELECT 'audit' AS chain, CAST(seq AS BIGINT) AS seq, payload, prev, hash FROM chain"
+    "WITH RECURSIVE rows AS (SELECT n_nationkey AS seq, n_name AS payload FROM nation), chain(seq, payload, prev, hash) AS (SELECT seq, payload, repeat('00', 32), sha256(seq || '|' || payload || '|' || repeat('00', 32)) FROM rows WHERE seq = 0 UNION ALL SELECT r.seq, r.payload, c.hash, sha256(r.seq || '|' || r.payload || '|' || c.hash) FROM chain c JOIN rows r ON r.seq = c.seq + 1) SELECT 'audit' AS chain, CAST(seq AS BIGINT) AS seq, payload, prev, hash FROM chain"
 )
 def audit_chain(spark, d):
-    rows = table(spark, d, "region").withColumn("chain", F.lit("audit"))
-    return security.chain_rows(rows, "chain", "r_regionkey", "r_name")
+    rows = table(spark, d, "nation").withColumn("chain", F.lit("audit"))
+    return security.chain_rows(rows, "chain", "n_nationkey", "n_name")
 
 
 @query("SELECT event_type AS chain, true AS ok, count(*) AS n FROM events GROUP BY 1")

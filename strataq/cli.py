@@ -33,12 +33,36 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("archive")
     s.add_argument("query")
     s.add_argument("--limit", type=int)
+    s.add_argument("--context", type=int, default=0)
     s.add_argument("--json", action="store_true")
     sub.add_parser("verify").add_argument("archive")
     sub.add_parser("benchmark").add_argument("archive")
     return p
 
 
+def hits(spark, path: str, query: str, context: int, limit: int | None):
+    """Rows that match, in the order of the archive's rows, with ``context`` rows on each side; the first ``limit`` of them."""
+    from pyspark.sql import functions as F
+
+    from .operators.ordered import with_running_sum
+    from .operators.search import where
+
+    df = archive.read(spark, path)
+    order = "row_id" if "row_id" in df.columns else None
+    if context and not order:
+        raise ValueError("--context needs an archive with a row_id")
+    found = where(df, query)
+    if context:
+        ranked = with_running_sum(df, order, F.lit(1).cast("long"), "__rank")
+        near = where(ranked, query).select(F.explode(F.sequence(F.col("__rank") - context, F.col("__rank") + context)).alias("__near")).distinct()
+        found = ranked.join(near, F.col("__rank") == F.col("__near"), "left_semi").select(*df.columns)
+    if limit:
+        # Without a row number, the order of all columns that have one; the same rows in each run.
+        by = [order] if order else [f"`{c}`" for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+        return found.orderBy(*by).limit(limit)
+    return found.orderBy(order) if order else found
+
+
 def main(args: list[str] | None = None, spark=None) -> int:
     a = parser().parse_args(args)
     spark = spark or session()
@@ -52,10 +76,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
         elif a.command == "decompress":
             archive.restore(spark, a.archive, a.output)
         elif a.command == "search":
-            from .operators.search import where
-
-            found = where(archive.read(spark, a.archive), a.query)
-            found = archive.restore_jsonl(found.limit(a.limit) if a.limit else found)
+            found = archive.restore_jsonl(hits(spark, a.archive, a.query, a.context, a.limit))
             lines = (r[0] for r in found.toLocalIterator())
             if a.json:
                 print("[" + ",\n".join(lines) + "]")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 ISO = "^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}"
 SUFFIX = "^(.*?)([0-9]+)$"
-IPV4 = "^(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
+IPV4 = "^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
 HEX_TOKEN, BASE64_TOKEN = "[0-9a-fA-F]{16,}", "[A-Za-z0-9+/]{20,}={0,2}"
 
 

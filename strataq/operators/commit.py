@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +35,11 @@ def prefixed(data: bytes) -> bytes:
 
 
 def zone(values: list) -> dict:
-    """type, count, nulls and, if the values can be ordered, min and max."""
+    """type (of the first value), count, nulls and, if the values can be ordered, min and max; missing bounds prove nothing."""
     some = [v for v in values if v is not None]
-    kinds = {type(v).__name__ for v in some}
-    out = {"type": kinds.pop() if len(kinds) == 1 else "mixed" if kinds else "null", "count": len(values), "nulls": len(values) - len(some)}
+    out = {"type": type(some[0]).__name__ if some else "null", "count": len(values), "nulls": len(values) - len(some)}
     try:
-        if some and out["type"] not in ("dict", "list"):
+        if some:
             out |= {"min": min(some), "max": max(some)}
     except TypeError:
         pass
@@ -114,8 +115,6 @@ def commit_records(records: list[dict]) -> Commitment:
 
 def commit_jsonl(data: bytes | str) -> Commitment:
     """Strict: a bad line raises, blank lines do not count."""
-    import json
-
     text = data.decode() if isinstance(data, bytes) else data
     return commit_records([json.loads(line) for line in text.split("\n") if line.strip()])
 
@@ -123,36 +122,80 @@ def commit_jsonl(data: bytes | str) -> Commitment:
 def column_leaves(df: DataFrame, order: str) -> DataFrame:
     """name and leaf (hex) of each column but ``order``: the order column only gives the order.
 
-    Each column's values travel as JSON text to the group of the column and are hashed there in order.
+    A leaf is a hash over all values in row order, so a column is one task; it
+    holds a batch at a time. What the hash needs in front (zone, length of the
+    values as JSON) comes from an aggregate over all rows before.
     """
     columns = [c for c in df.columns if c != order]
     # to_json writes a null field as nothing; a one-element array keeps it.
     cells = df.select(F.col(order).alias("__order"), F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.to_json(F.array(F.col(f"`{c}`"))).alias("cell")) for c in columns))).alias("x")).select("__order", "x.*")
-    cells = cells.repartition("name").sortWithinPartitions("name", "__order")
-
-    def digest(parts: Iterator) -> Iterator:
-        import json
 
-        import pandas as pd
+    def text(cell: str) -> str:
+        return canonical_json(json.loads(cell)[0])
 
-        name, values = None, []
+    def sizes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            told = part.assign(bytes=[len(text(c).encode()) for c in part["cell"]])
+            yield told.groupby("name", as_index=False)["bytes"].sum()
+
+    measured = {r["name"]: r["bytes"] for r in cells.select("name", "cell").mapInPandas(sizes, "name string, bytes long").groupBy("name").agg(F.sum("bytes").alias("bytes")).collect()}  # one row per column
+    zones = table_zones(df.select(*(F.col(f"`{c}`") for c in columns)))
+    heads = {}
+    for c in columns:
+        z = canonical_json(zones[c]).encode()
+        n = measured.get(c, 0) + max(zones[c]["count"] - 1, 0) + 2
+        heads[c] = b"\0" + prefixed(c.encode()) + prefixed(z) + length_prefix(n) + b"["
+
+    def digest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, state = None, None
+        done = lambda: pd.DataFrame({"name": [name], "leaf": [(state.update(b"]"), state.hexdigest())[1]]})
         for part in parts:
-            for n, cell in zip(part["name"], part["cell"], strict=True):
-                if n != name and name is not None:
-                    yield pd.DataFrame({"name": [name], "leaf": [leaf(name, values)[1].hex()]})
-                    values = []
-                name = n
-                values.append(json.loads(cell)[0])
+            for n, rows in part.groupby("name", sort=False)["cell"]:  # sorted by name before: one run each
+                if n != name:
+                    if name is not None:
+                        yield done()
+                    name, state, first = n, hashlib.sha256(heads[n]), True
+                state.update((("" if first else ",") + ",".join(map(text, rows))).encode())
+                first = False
         if name is not None:
-            yield pd.DataFrame({"name": [name], "leaf": [leaf(name, values)[1].hex()]})
-
-    return cells.mapInPandas(digest, "name string, leaf string")
+            yield done()
+
+    found = cells.repartition("name").sortWithinPartitions("name", "__order").select("name", "cell").mapInPandas(digest, "name string, leaf string")
+    if zones and all(z["count"] for z in zones.values()):
+        return found
+    empty = [(c, hashlib.sha256(heads[c] + b"]").hexdigest()) for c in columns]
+    return df.sparkSession.createDataFrame(empty, "name string, leaf string")
+
+
+#: How the types of a table are named in a zone: those of the values in JSON.
+ZONE_TYPES = {"string": "str", "tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "float": "float", "double": "float", "boolean": "bool", "date": "str", "timestamp": "str", "timestamp_ntz": "str"}
+
+
+def table_zones(df: DataFrame) -> dict[str, dict]:
+    """The zone of each column, as ``zone`` of its values in JSON; bounds for types with an order there."""
+    aggregates = [F.count(F.lit(1)).alias("n")]
+    for k, (c, kind) in enumerate(df.dtypes):
+        v = F.col(f"`{c}`")
+        ordered = kind in ZONE_TYPES
+        cell = F.to_json(F.array(v))
+        low, high = (F.to_json(F.array(f(v))) for f in (F.min, F.max)) if ordered else (F.min(F.when(v.isNotNull(), cell)),) * 2
+        aggregates += [F.count(v).alias(f"some{k}"), low.alias(f"low{k}"), high.alias(f"high{k}")]
+    found = df.agg(*aggregates).first()
+    out = {}
+    for k, (c, kind) in enumerate(df.dtypes):
+        some = found[f"some{k}"]
+        name = ZONE_TYPES.get(kind) or ("list" if kind.startswith("array") else "float" if kind.startswith("decimal") else "dict")
+        z = {"type": name if some else "null", "count": found["n"], "nulls": found["n"] - some}
+        if some and (kind in ZONE_TYPES or some == 1):
+            z |= {"min": json.loads(found[f"low{k}"])[0], "max": json.loads(found[f"high{k}"])[0]}
+        out[c] = z
+    return out
 
 
 def commit(df: DataFrame, order: str) -> Commitment:
     """The root over a table; only one hash per column comes to the driver."""
     found = sorted((r["name"], r["leaf"]) for r in column_leaves(df, order).collect())
-    return Commitment(layers([bytes.fromhex(h) for _, h in found])[-1][0].hex(), tuple(found), {})
+    return Commitment(layers([bytes.fromhex(h) for _, h in found])[-1][0].hex(), tuple(found), table_zones(df.drop(order)))
 
 
 def verify_inclusion(root: str, proof: InclusionProof) -> bool:

@@ -72,20 +72,48 @@ def bloom_size(n: int, rate: float = 0.01) -> tuple[int, int]:
     return bits, max(1, int(bits / max(n, 10) * math.log(2)))
 
 
-def probe(token: Column, k: int, bits: int) -> Column:
-    """Place of probe ``k`` by double hashing."""
-    return F.pmod(F.pmod(F.xxhash64(token), F.lit(bits)) + k * F.pmod(F.xxhash64(F.lit("second"), token), F.lit(bits)), F.lit(bits)).cast("int")
+def rule_tokens(parsed: DataFrame, form: str) -> Column:
+    """array<string>: what the rules of a format index of a parsed line, in lower case, without nulls and blanks."""
+    return F.array_distinct(F.filter(F.transform(TOKEN_RULES[form](), F.lower), lambda t: t.isNotNull() & (t != "")))
 
 
-def bloom_index(df: DataFrame, key: str, text: str, block_size: int, bits: int = 1 << 15, probes: int = 7) -> DataFrame:
-    """block_id and the sorted places of the set bits: a Bloom filter of the tokens of each block."""
-    index = token_index(df, key, text, block_size)
-    return index.select("block_id", F.explode(F.array(*(probe(F.col("token"), k, bits) for k in range(probes)))).alias("bit")).groupBy("block_id").agg(F.array_sort(F.collect_set("bit")).alias("bits"))
+def rule_index(parsed: DataFrame, form: str, key: str, block_size: int) -> DataFrame:
+    """(block_id, token) of the parts of parsed lines that a format indexes; whole parts, not words."""
+    return parsed.select(F.floor(F.col(key) / block_size).cast("long").alias("block_id"), F.explode(rule_tokens(parsed, form)).alias("token")).distinct()
+
+
+def blooms_of(tokens: DataFrame, rate: float = 0.01, fixed: tuple[int, int] | None = None) -> DataFrame:
+    """block_id, m, k and bits (sorted places of the set ones): a Bloom filter of the tokens (block_id, token) of each block.
+
+    Sizes follow from the number of tokens of each block and ``rate``; ``fixed``
+    gives all filters the same (bits, probes).
+    """
+    if fixed:
+        m, k = F.lit(fixed[0]).cast("long"), F.lit(fixed[1])
+    else:
+        n = F.greatest(F.col("n"), F.lit(10))
+        m = F.greatest(F.lit(64), F.ceil(n * (-math.log(rate) / math.log(2) ** 2))).cast("long")
+        k = F.greatest(F.lit(1), F.floor(m / n * math.log(2)).cast("int"))
+    sizes = tokens.groupBy("block_id").agg(F.count(F.lit(1)).alias("n")).select("block_id", m.alias("m"), k.alias("k"))
+    places = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: place(F.col("token"), j, F.col("m")))
+    return tokens.join(sizes, "block_id").select("block_id", "m", "k", F.explode(places).alias("bit")).groupBy("block_id", "m", "k").agg(F.array_sort(F.collect_set("bit")).alias("bits"))
+
+
+def place(token: Column, k: Column, m: Column) -> Column:
+    """Place of probe ``k`` among ``m`` bits, by double hashing."""
+    return F.pmod(F.pmod(F.xxhash64(token), m) + k * F.pmod(F.xxhash64(F.lit("second"), token), m), m)
+
+
+def bloom_index(df: DataFrame, key: str, text: str, block_size: int, rate: float = 0.01) -> DataFrame:
+    """Bloom filters of the words of each block, sized by their number."""
+    return blooms_of(token_index(df, key, text, block_size), rate)
+
+
+#: The fixed form: 4096 bytes and two probes.
+FIXED_BLOOM = (4096 * 8, 2)
 
 
-def bloom_candidates(blooms: DataFrame, token: str, bits: int = 1 << 15, probes: int = 7) -> DataFrame:
+def bloom_candidates(blooms: DataFrame, token: str) -> DataFrame:
     """block_id of the blocks that may hold the whole token; never misses one that does."""
-    test = F.lit(True)
-    for k in range(probes):
-        test = test & F.array_contains("bits", probe(F.lit(token.lower()), k, bits))
-    return blooms.where(test).select("block_id")
+    t = F.lit(token.lower())
+    return blooms.where(F.forall(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.array_contains(F.col("bits"), place(t, j, F.col("m"))))).select("block_id")

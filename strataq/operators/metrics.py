@@ -69,5 +69,6 @@ def random_share(random_bytes: Column, total: Column) -> Column:
 def netting(df: DataFrame, payer: str, payee: str, amount: str) -> DataFrame:
     """One row per unordered pair: low, high, n, gross and net from low to high."""
     low, high = F.least(payer, payee), F.greatest(payer, payee)
-    signed = F.when(F.col(payer) == low, F.col(amount)).otherwise(-F.col(amount))
-    return df.where(F.col(payer) != F.col(payee)).groupBy(low.alias("low"), high.alias("high")).agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("gross"), F.sum(signed).alias("net"))
+    money = F.col(amount).cast("decimal(38,4)")  # sums of money do not depend on their order
+    signed = F.when(F.col(payer) == low, money).otherwise(-money)
+    return df.where(F.col(payer) != F.col(payee)).groupBy(low.alias("low"), high.alias("high")).agg(F.count(F.lit(1)).alias("n"), F.sum(money).cast("double").alias("gross"), F.sum(signed).cast("double").alias("net"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.encode import SUFFIX, is_iso
+from ..functions.encode import IPV4, SUFFIX, is_iso
 from .ordered import with_previous
 
 
@@ -21,15 +27,50 @@ def as_text(column: str, kind: str) -> F.Column:
     return F.round(c, 2).cast("decimal(18,2)").cast("string") if kind in ("double", "float") else c.cast("string")
 
 
+WHOLE, REAL = ("tinyint", "smallint", "int", "bigint"), ("float", "double")
+#: Bound columns of a zone map, each exact for its types.
+BOUNDS = ("low_long", "high_long", "low_double", "high_double", "low_text", "high_text")
+
+
+def bound_type(kind: str) -> str | None:
+    """Which bound columns a column type fills: long, double, text, or none for types without order."""
+    if kind.startswith(("map", "variant", "array", "struct", "binary")):
+        return None
+    return "long" if kind in WHOLE else "double" if kind in REAL else "text"
+
+
 def zone_map(df: DataFrame) -> DataFrame:
-    """column, type, n, nulls, low, high of every column, in one pass. Types without order have null bounds."""
+    """column, type, n, nulls and exact bounds (BOUNDS) of every column, in one pass.
+
+    Whole numbers have long bounds, floats double ones, strings, times, booleans
+    and decimals their text; the others of a row are null, all of them for types
+    without order.
+    """
     aggregates = []
     for c, kind in df.dtypes:
-        bounds = not kind.startswith(("map", "variant", "array", "struct", "binary"))
-        typed = F.col(f"`{c}`")
-        text = lambda f: (F.round(f(typed), 2).cast("decimal(18,2)") if kind in ("double", "float") else f(typed)).cast("string") if bounds else F.lit(None).cast("string")  # noqa: B023, E731
-        aggregates += [F.count(F.lit(1)).alias(f"{c}__n"), F.count(F.when(typed.isNull(), 1)).alias(f"{c}__nulls"), text(F.min).alias(f"{c}__low"), text(F.max).alias(f"{c}__high"), F.lit(kind).alias(f"{c}__type")]
-    return _unpivot(df.agg(*aggregates), df.columns, ["type", "n", "nulls", "low", "high"])
+        v, own = F.col(f"`{c}`"), bound_type(kind)
+        aggregates += [F.count(F.lit(1)).alias(f"{c}__n"), F.count(F.when(v.isNull(), 1)).alias(f"{c}__nulls"), F.lit(kind).alias(f"{c}__type")]
+        for name in BOUNDS:
+            side, form = name.split("_")
+            form = {"text": "string", "long": "bigint"}.get(form, form)
+            bound = (F.min if side == "low" else F.max)(v).cast(form) if name.endswith(f"_{own}") else F.lit(None).cast(form)
+            aggregates.append(bound.alias(f"{c}__{name}"))
+    return _unpivot(df.agg(*aggregates), df.columns, ["type", "n", "nulls", *BOUNDS])
+
+
+def may_hold(zone: dict, value: str) -> bool:
+    """Whether a column with this zone (a row of ``zone_map``) can equal ``value``; false only if its bounds rule that out."""
+    if zone["n"] == zone["nulls"]:
+        return False
+    own = bound_type(zone["type"])
+    if own not in ("long", "double") or zone[f"low_{own}"] is None:
+        return True
+    try:
+        number = int(value) if own == "long" else float(value)
+    except ValueError:
+        return False
+    low, high = zone[f"low_{own}"], zone[f"high_{own}"]
+    return number != number or high != high or low <= number <= high  # NaN orders above all
 
 
 def cardinality(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -67,13 +108,37 @@ def encoding_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     return _unpivot(df.agg(*aggregates), df.columns, ["mode"])
 
 
+def byte_counts(df: DataFrame, text: str, by: list[str] | None = None) -> DataFrame:
+    """The columns ``by`` and ``counts``, 256 numbers: how often each byte is in the texts of a group.
+
+    Tasks count whole batches with numpy and hand on one row per group and batch, never one per byte.
+    """
+    by = by or []
+    kept = df.select(*by).schema.fields
+    schema = T.StructType([*kept, T.StructField("part", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(len(by))), strict=True)) if by else [()] * batch.num_rows
+            sums: dict[tuple, np.ndarray] = {}
+            for key, raw in zip(keys, batch.column(len(by)), strict=True):
+                if raw.is_valid:
+                    found = np.bincount(np.frombuffer(raw.as_buffer(), np.uint8), minlength=256)
+                    sums[key] = sums[key] + found if key in sums else found
+            columns = [pa.array([k[i] for k in sums], arrow.field(i).type) for i in range(len(by))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([v.tolist() for v in sums.values()], arrow.field(len(by)).type)], schema=arrow)
+
+    parts = df.select(*by, F.encode(text, "UTF-8").alias("raw")).mapInArrow(run, schema)
+    return parts.groupBy(*by).agg(F.array(*(F.coalesce(F.sum(F.get("part", F.lit(k))), F.lit(0)) for k in range(256))).alias("counts"))
+
+
 def byte_entropy(df: DataFrame, text: str, by: list[str] | None = None) -> DataFrame:
-    """Bits per byte of all texts of a group. Bytes are counted in each row's group before the shuffle."""
+    """Bits per byte of all texts of a group; groups without a byte are left out."""
     by = by or []
-    pairs = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit("(..)"))
-    counts = df.select(*by, F.explode(pairs).alias("byte")).groupBy(*by, "byte").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.groupBy(*by).agg(F.sum("n").alias("n_bytes"), F.sum(F.col("n") * F.log2("n")).alias("__s"))
-    return total.select(*by, "n_bytes", F.round(F.log2("n_bytes") - F.col("__s") / F.col("n_bytes"), 6).alias("bits_per_byte"))
+    some = F.filter("counts", lambda n: n > 0)
+    sums = byte_counts(df, text, by).select(*by, F.aggregate(some, F.lit(0).cast("long"), lambda s, n: s + n).alias("n_bytes"), F.aggregate(some, F.lit(0.0), lambda s, n: s + n * F.log2(n)).alias("logs")).where("n_bytes > 0")
+    return sums.select(*by, "n_bytes", F.round(F.log2("n_bytes") - F.col("logs") / F.col("n_bytes"), 6).alias("bits_per_byte"))
 
 
 def unique_line_ratio(df: DataFrame, text: str, by: list[str] | None = None) -> DataFrame:
@@ -101,3 +166,34 @@ def file_facts(df: DataFrame, key: str, text: str) -> DataFrame:
     raw = F.encode(text, "UTF-8")
     newline = F.when(F.contains(text, F.lit("\r\n")), "crlf").when(F.contains(text, F.lit("\n")), "lf").otherwise("none")
     return df.select(key, F.octet_length(text).cast("long").alias("n_bytes"), F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"), newline.alias("newline"), F.when(F.length(text) == F.octet_length(text), "ascii").otherwise("utf-8").alias("encoding"), F.hex(F.substring(raw, 1, 16)).alias("magic"), F.sha2(text, 256).alias("sha256"))
+
+
+NUMBER, SAFE_NUMBER = "^-?[0-9]+$", "^(0|-?[1-9][0-9]*)$"
+#: For the string columns of a format, in order of the tests: share of distinct values under which a dictionary pays, what counts as a number, whether addresses are packed.
+SMART = {
+    "syslog": (0.3, NUMBER, False),
+    "sql": (0.2, SAFE_NUMBER, False),
+    "vpcflow": (0.2, "^[0-9]+$", True),
+    "github": (0.3, None, False),
+}
+
+
+def smart_modes(df: DataFrame, form: str) -> DataFrame:
+    """column and mode of each column as text, by the rules of a format: constant, ipv4, dictionary (under 256 values), delta, raw, or empty.
+
+    Numbers with leading zeros or beyond 18 digits, which a delta would not give back, stay raw. Nulls are no values.
+    """
+    share, number, addresses = SMART[form]
+    aggregates = []
+    for c in df.columns:
+        v = F.col(f"`{c}`").cast("string")
+        n, distinct = F.count(v), F.countDistinct(v)
+        all_are = lambda pattern: F.count(F.when(v.rlike(pattern), 1)) == F.count(v)  # noqa: B023, E731
+        mode = F.when(n == 0, "empty").when((n > 1) & (F.min(v) == F.max(v)), "constant")
+        if addresses:
+            mode = mode.when(all_are(IPV4), "ipv4")
+        mode = mode.when((distinct < 256) & (distinct < n * share), "dictionary")
+        if number:
+            mode = mode.when((n > 1) & all_are(number) & all_are(SAFE_NUMBER) & (F.max(F.length(v)) <= 18), "delta")
+        aggregates.append(mode.otherwise("raw").alias(f"{c}__mode"))
+    return _unpivot(df.agg(*aggregates), df.columns, ["mode"])

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from ..operators.security import AuditChain
 from ..operators.templates import HOLES, with_template
+from ..sources.folders import shared_folder
 from ..sources.formats import REGISTRY, parse
 from . import archive
 from .detect import SAMPLE, detect
 
+#: Lines of a head; most of SAMPLE bytes each are looked at.
+HEAD_LINES = 256
 PARSERS = {"json_columnar": "jsonl", "cloudtrail": "raw", "universal": "raw", "sql": "raw"}
 
 
@@ -25,10 +28,10 @@ class Orchestrator:
         self.spark, self.tenant, self.chain, self.operations = spark, tenant, AuditChain(), []
 
     def engine_of(self, source: str) -> str:
-        """By the first 4 KiB of the first file."""
-        head = self.spark.read.text(source, wholetext=True).select(F.substring("value", 1, SAMPLE).alias("s")).limit(1)
-        found = head.select(detect(F.col("s")).alias("e")).first()
-        return found["e"] if found else "universal"
+        """By the first 4 KiB of lines."""
+        lines = self.spark.read.text(source).select(F.substring("value", 1, SAMPLE).alias("line")).limit(HEAD_LINES)
+        head = lines.agg(F.substring(F.concat_ws("\n", F.collect_list("line")), 1, SAMPLE).alias("s"))  # a bounded number of bounded lines
+        return head.select(detect(F.col("s")).alias("e")).first()["e"]
 
     def compress(self, source: str, path: str, mode: str = "fast") -> dict:
         began = time.time()
@@ -62,7 +65,7 @@ class Orchestrator:
 
 
 def checks(spark: SparkSession, path: str, original: DataFrame) -> DataFrame:
-    """test, passed, details: identity, determinism of three reads, and format."""
+    """test, passed, details: identity, determinism of three reads, format, and whether damaged copies are refused."""
 
     def run(name: str, test: Callable[[], tuple[bool, str]]) -> tuple[str, bool, str]:
         try:
@@ -82,7 +85,29 @@ def checks(spark: SparkSession, path: str, original: DataFrame) -> DataFrame:
         archive.read(spark, path, verify=True)
         return True, "manifest, columns and digest agree"
 
-    return spark.createDataFrame([run("identity", identity), run("determinism", determinism), run("format", form)], "test string, passed boolean, details string")
+    def damage(change: Callable[[DataFrame], DataFrame]) -> Callable[[], tuple[bool, str]]:
+        """Whether a copy of the archive whose rows were changed, its manifest kept, is refused."""
+
+        def test() -> tuple[bool, str]:
+            copy = f"{shared_folder(spark)}/copy"
+            change(spark.read.parquet(f"{path}/data")).write.parquet(f"{copy}/data")
+            spark.read.text(f"{path}/manifest").coalesce(1).write.text(f"{copy}/manifest")
+            try:
+                archive.read(spark, copy, verify=True)
+            except archive.CorruptArchive as e:
+                return True, str(e)
+            return False, "a damaged archive was read"
+
+        return test
+
+    def other(df: DataFrame) -> DataFrame:
+        """One value changed in one row."""
+        c, kind = df.dtypes[0]
+        first = df.limit(1).withColumn(c, F.lit(None).cast(kind) if df.select(c).first()[0] is not None else F.lit("0").try_cast(kind))
+        return df.exceptAll(df.limit(1)).unionByName(first)
+
+    tests = {"identity": identity, "determinism": determinism, "format": form, "changed value": damage(other), "missing row": damage(lambda df: df.exceptAll(df.limit(1))), "added row": damage(lambda df: df.unionByName(df.limit(1)))}
+    return spark.createDataFrame([run(name, test) for name, test in tests.items()], "test string, passed boolean, details string")
 
 
 def report(results: DataFrame, path: str) -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +29,18 @@ class FormatSpec:
     fields: Callable[[Column], dict[str, Column]]
 
 
+MARK = "\x01"
+
+
 def groups(pattern: str, names: list[str]) -> Callable[[Column], dict[str, Column]]:
-    return lambda line: {n: F.when(line.rlike(pattern), F.regexp_extract(line, pattern, k + 1)) for k, n in enumerate(names)}
+    """The groups of a pattern that spans the line, from one match: the line becomes its groups between marks. Lines that hold the mark themselves do not match."""
+    marked = MARK.join(f"${k + 1}" for k in range(len(names)))
+
+    def fields(line: Column) -> dict[str, Column]:
+        parts = F.split(F.when(~F.contains(line, F.lit(MARK)), F.regexp_replace(line, F.lit(pattern), F.lit(marked))), MARK, -1)
+        return {n: F.when(F.size(parts) == len(names), F.get(parts, F.lit(k))) for k, n in enumerate(names)}
+
+    return fields
 
 
 def number(c: Column) -> Column:
@@ -102,10 +112,10 @@ def jsonl(df: DataFrame, line: str, schema: str | T.StructType, strict: bool = F
 
 def key_order(df: DataFrame, line: str, order: str) -> DataFrame:
     """Keys of all objects in first-seen order: key, place."""
-    from ..operators.ordered import first_seen
-
-    keys = df.select(F.col(order).alias("__at"), F.posexplode(F.json_object_keys(line)).alias("__k", "key")).withColumn("__seen", F.col("__at") * 4096 + F.col("__k"))
-    return first_seen(keys, ["key"], "__seen", "place").select("key", "place")
+    keys = df.select(F.col(order).alias("__at"), F.posexplode(F.json_object_keys(line)).alias("__k", "key"))
+    # As many rows as there are keys: each with the first place where it was seen.
+    first = keys.groupBy("key").agg(F.min(F.struct("__at", "__k")).alias("first"))
+    return first.select("key", (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("place"))
 
 
 def read_lines(spark: SparkSession, path: str, dense: bool = False) -> DataFrame:

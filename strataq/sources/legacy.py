@@ -1,4 +1,4 @@
-"""Reads older columnar archives: per-column or one-frame zstd, magic COL2 or COL3.
+"""Reads older columnar archives: per-column or one-frame zstd, magic COL1 (no zone header), COL2 or COL3.
 
 Only reading; new archives are Parquet. A file is one unit of work, its columns
 are decoded with numpy and come out as JSON lines with dense row numbers.
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the format.
-MAGIC_FRAMES, MAGIC_SINGLE = b"COL2", b"COL3"
+MAGIC_OLDEST, MAGIC_FRAMES, MAGIC_SINGLE = b"COL1", b"COL2", b"COL3"
 NULL_CELL, SEPARATOR = b"\x01", b"\x00"
 SHORT = 32
 
@@ -148,15 +148,16 @@ def decode(data: bytes) -> tuple[list[str], dict[str, list], int]:
 
     c = Cursor(data)
     magic = c.take(min(4, len(data)))
-    if magic not in (MAGIC_FRAMES, MAGIC_SINGLE):
+    if magic not in (MAGIC_OLDEST, MAGIC_FRAMES, MAGIC_SINGLE):
         raise ValueError("no archive of this kind")
     unpack = zstandard.ZstdDecompressor().decompress
     rows, n, _ = c.number(4), c.number(2), c.number(1)
     keys = json.loads(c.take(c.number(4)))
-    c.take(c.number(4))  # zone header
+    if magic != MAGIC_OLDEST:
+        c.take(c.number(4))  # zone header
     columns: dict[str, list] = {}
     try:
-        if magic == MAGIC_FRAMES:
+        if magic != MAGIC_SINGLE:
             for _ in range(n):
                 name = c.text(c.varint())
                 columns[name] = column(unpack(c.take(c.number(4))), rows)

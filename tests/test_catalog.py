@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from strataq import catalog
+from strataq import catalog, catalog_archives  # noqa: F401  the second adds to the first
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

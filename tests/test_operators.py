@@ -205,10 +205,121 @@ def test_archive_round_trip_search_and_corruption(spark, tmp_path):
         archive.read(spark, str(tmp_path / "b"), verify=True)
 
 
-def test_raw_lines_when_the_parser_fails(spark, tmp_path):
+def test_raw_lines_when_the_parser_does_not_fit(spark, tmp_path):
+    """A parser that asks for what the table lacks: raw lines and the reason. A job that fails is raised, not hidden."""
     df = spark.createDataFrame([("a",), ("b",)], "line string")
-    made = archive.write_lines(df, "line", str(tmp_path / "r"), lambda d: d.select(F.raise_error(F.lit("no"))))
-    assert made["engine"] == "raw" and archive.read(spark, str(tmp_path / "r"), verify=True).count() == 2
+    made = archive.write_lines(df, "line", str(tmp_path / "r"), lambda d: d.select("other"))
+    assert made["engine"] == "raw" and "other" in made["reason"] and archive.read(spark, str(tmp_path / "r"), verify=True).count() == 2
+    with pytest.raises(Exception, match="no luck"):
+        archive.write_lines(df, "line", str(tmp_path / "s"), lambda d: d.select(F.raise_error(F.lit("no luck"))))
+
+
+def test_an_index_never_changes_the_answer(spark, tmp_path):
+    rows = [(i, f"line {i} needle{'' if i % 9 else 's'}" if i % 5 == 0 else f"line {i}", "needle" if i % 31 == 0 else "x", float(i)) for i in range(3000)]
+    rows += [(None, "a needle without a key", "y", 1.0), (None, "nothing", "needle here", 2.0), (5000, None, "needle", None)]
+    df = spark.createDataFrame(rows, "id long, text string, note string, x double")
+    archive.write(df, str(tmp_path / "plain"))
+    for size in (16, 1000):  # many candidate blocks, which are joined, and few, which become ranges
+        archive.write(df, str(tmp_path / f"i{size}"), sort_by=["id"], index=("id", "text", size))
+        for query in ("needle", "Needle", "edle", "needles", "7", "line 7", "zzzz"):
+            want = sorted(map(repr, archive.search(spark, str(tmp_path / "plain"), query).collect()))
+            found, plan = archive.planned(spark, str(tmp_path / f"i{size}"), query)
+            assert sorted(map(repr, found.collect())) == want, (size, query)
+            assert plan.candidates is None or plan.candidates <= plan.blocks
+    assert archive.planned(spark, str(tmp_path / "i16"), "zzzz")[1].candidates == 0
+
+
+def test_zones_are_exact_and_prune_soundly(spark):
+    df = spark.createDataFrame([(1, 0.126, "b", None), (9, 7.999, "a", None), (None, float("nan"), None, None)], "n long, x double, s string, e int")
+    zones = {r["column"]: r.asDict() for r in profile.zone_map(df).collect()}
+    assert (zones["n"]["low_long"], zones["n"]["high_long"], zones["n"]["nulls"]) == (1, 9, 1)
+    assert zones["x"]["low_double"] == 0.126 and (zones["s"]["low_text"], zones["s"]["high_text"]) == ("a", "b")
+    assert [profile.may_hold(zones["n"], v) for v in ("0", "1", "9", "10", "x")] == [False, True, True, False, False]
+    assert profile.may_hold(zones["x"], "0.126") and profile.may_hold(zones["s"], "zzz") and not profile.may_hold(zones["e"], "1")
+
+
+def test_order_ranges_are_even_however_values_lie(spark):
+    r = random.Random(3)
+    shapes = {"dense": range(4000), "far apart": [k << 20 for k in range(4000)], "clusters": [c * 10**12 + k for c in range(4) for k in range(1000)], "negative": range(-3000, 1000)}
+    for name, values in shapes.items():
+        rows = [(k, r.randint(0, 5)) for k in values]
+        df = spark.createDataFrame(r.sample(rows, len(rows)), "id long, v long")
+        got = {x["id"]: x["s"] for x in ordered.with_running_sum(df, "id", F.col("v"), "s").collect()}
+        total, want = 0, {}
+        for k, v in rows:
+            total += v
+            want[k] = total
+        assert got == want, name
+        counts = [x["count"] for x in ordered.ranges(df, "id", None).groupBy("__range").count().collect()]
+        assert max(counts) <= 4 * 4000 / ordered.QUANTILES, (name, max(counts))
+
+
+def test_entropy_equals_a_loop(spark):
+    import math
+    from collections import Counter
+
+    texts = ["", None, "aab", "é€😀", "x" * 5000, "abc" * 7]
+    df = spark.createDataFrame([(k % 2, t) for k, t in enumerate(texts)], "g int, t string")
+    got = {r["g"]: (r["n_bytes"], r["bits_per_byte"]) for r in profile.byte_entropy(df, "t", ["g"]).collect()}
+    for g in (0, 1):
+        c = Counter(b"".join((t or "").encode() for k, t in enumerate(texts) if k % 2 == g))
+        n = sum(c.values())
+        assert got[g] == (n, pytest.approx(-sum(x / n * math.log2(x / n) for x in c.values()), abs=2e-6))
+    assert profile.byte_entropy(df.limit(0), "t").count() == 0
+
+
+def test_bloom_filters_miss_nothing_and_rarely_err(spark):
+    tokens = spark.createDataFrame([(b, f"token{b}x{k}") for b in range(3) for k in (range(5), range(200), range(2000))[b]], "block_id long, token string")
+    for fixed, most in ((None, 0.03), (index.FIXED_BLOOM, 0.05)):
+        blooms = index.blooms_of(tokens, fixed=fixed).cache()
+        assert {r["block_id"] for r in index.bloom_candidates(blooms, "token2x1999").collect()} >= {2}
+        for b in range(3):
+            assert b in {r["block_id"] for r in index.bloom_candidates(blooms, f"token{b}x3").collect()}
+        probes = spark.range(400).select(F.concat(F.lit("other"), F.col("id").cast("string")).alias("t"))
+        test = F.forall(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.array_contains(F.col("bits"), index.place(F.col("t"), j, F.col("m"))))
+        assert probes.crossJoin(blooms).where(test).count() / 1200 <= most
+        blooms.unpersist()
+
+
+def test_leaves_of_a_table_equal_those_of_its_records(spark):
+    rows = [{"i": k, "s": None if k % 7 == 0 else f"v{k}é\"", "x": k / 3, "b": k % 2 == 0, "l": [k, None], "none": None} for k in range(500)]
+    df = spark.createDataFrame([(k, r["i"], r["s"], r["x"], r["b"], r["l"], None) for k, r in enumerate(rows)], "row_id long, i long, s string, x double, b boolean, l array<long>, none string")
+    made, want = commit.commit(df.repartition(5), "row_id"), commit.commit_records(rows)
+    assert {n: h for n, h in made.leaves if n != "l"} == {n: h for n, h in want.leaves if n != "l"}
+    assert made.zones["x"] == want.zones["x"] and made.zones["none"] == {"type": "null", "count": 500, "nulls": 500}
+    assert len(commit.commit(df.limit(0), "row_id").leaves) == 6
+
+
+def test_profiles_by_format(spark):
+    def mode(values, form):
+        return profile.smart_modes(numbered(spark, values, "string").select("v"), form).first()["mode"]
+
+    assert mode(["x"] * 5, "sql") == "constant" and mode(["1.2.3.4", "10.0.0.1", "9.9.9.9"], "vpcflow") == "ipv4"
+    assert mode(["a", "b"] * 20, "github") == "dictionary" and mode([str(k) for k in range(40)], "syslog") == "delta"
+    assert mode([f"{k:04d}" for k in range(40)], "sql") == "raw" and mode(["-0", "-1", "-2"], "sql") == "raw" and mode([None, None], "sql") == "empty"
+
+
+def test_line_archives_of_hard_lines(spark, tmp_path):
+    from strataq.plans import lines
+
+    rows = [(k, t) for k, t in enumerate(["a 1 b 2", "a 3 b 4", "", None, "no holes", "raw \x00 9", 'say "x 1" 5', "a 1 b 2", "é 7"])]
+    df = spark.createDataFrame(rows, "n long, line string")
+    lines.write_templates(df, str(tmp_path / "t"), "n")
+    lines.write_patterns(df, str(tmp_path / "p"), "n")
+    for back in (lines.read_templates(spark, str(tmp_path / "t")), lines.read_patterns(spark, str(tmp_path / "p"))):
+        assert sorted(map(tuple, back.collect())) == rows and lines.verify_lines(df, back, "n") == 9
+    with pytest.raises(archive.CorruptArchive):
+        lines.verify_lines(df, lines.read_patterns(spark, str(tmp_path / "p")).where("line_no <> 4"), "n")
+
+
+def test_context_on_the_command_line(spark, tmp_path):
+    from strataq import cli
+
+    df = spark.createDataFrame([(k * 10, f"line {k}") for k in range(50)], "row_id long, line string")
+    archive.write(df, str(tmp_path / "a"))
+    got = [r["row_id"] for r in cli.hits(spark, str(tmp_path / "a"), '"line 20"', 2, None).collect()]
+    assert got == [180, 190, 200, 210, 220]
+    assert [r["row_id"] for r in cli.hits(spark, str(tmp_path / "a"), "line", 0, 3).collect()] == [0, 10, 20]
 
 
 def test_command_line(spark, tmp_path, capsys):
