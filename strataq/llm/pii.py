@@ -62,16 +62,32 @@ def pieces(text: Column, kind: str) -> Column:
     return F.when(F.contains(text, F.lit(need)), cut) if need else F.when(text.rlike("[0-9]"), cut)
 
 
-def proposals(cut: Column) -> Column:
-    """array<struct<match, start>> from pieces; start counts from 0."""
-    struct = "array<struct<match:string,start:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast(struct).alias("found"))
+FOUND = "array<struct<match:string,start:int>>"
+#: Pieces of one fold, an even number: folds append to a list, which they copy at each step.
+FOLD = 256
+
+
+def folded(cut: Column, at: Column) -> Column:
+    """struct<at, k, found>: the matches among pieces (at odd places) with their starts, if the first piece starts at ``at``."""
+    start = F.struct(at.alias("at"), F.lit(0).alias("k"), F.array().cast(FOUND).alias("found"))
     step = lambda s, x: F.struct(
         (s["at"] + F.length(x)).alias("at"),
         (s["k"] + 1).alias("k"),
         F.when(s["k"] % 2 == 1, F.concat(s["found"], F.array(F.struct(x.alias("match"), s["at"].alias("start"))))).otherwise(s["found"]).alias("found"),
     )
-    return F.when(F.size(cut) > 1, F.aggregate(cut, start, step, lambda s: s["found"])).otherwise(F.array().cast(struct))
+    return F.aggregate(cut, start, step)
+
+
+def proposals(cut: Column) -> Column:
+    """array<struct<match, start>> from pieces; start counts from 0. Texts with very many pieces are folded part by part, so that time stays near linear."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{FOUND}>").alias("found"))
+
+    def part(s: Column, j: Column) -> Column:
+        done = F.transform(F.array(folded(F.slice(cut, j * FOLD + 1, F.lit(FOLD)), s["at"])), lambda d: F.struct(d["at"].alias("at"), F.concat(s["found"], F.array(d["found"])).alias("found")))
+        return F.element_at(done, 1)
+
+    many = F.flatten(F.aggregate(F.sequence(F.lit(0), F.floor((F.size(cut) - 1) / FOLD).cast("int")), start, part, lambda s: s["found"]))
+    return F.when(F.size(cut) > FOLD, many).when(F.size(cut) > 1, folded(cut, F.lit(0))["found"]).otherwise(F.array().cast(FOUND))
 
 
 def luhn(digits: Column) -> Column:

@@ -193,6 +193,21 @@ def test_personal_data_equals_brute_force(spark):
         assert hashlib.sha256(want.encode()).hexdigest() == row["base_sha256"], texts[row["doc_id"]]
 
 
+def test_very_many_matches_in_one_text(spark):
+    """More pieces than one fold takes: the same spans as in short texts, in near linear time."""
+    import time
+
+    one = "call +49 30 1234567 or 4111 1111 1111 1111 "
+    took = []
+    for n in (600, 4800):
+        df = spark.createDataFrame([(1, one), (2, one * n)], "doc_id long, text string")
+        began = time.time()
+        got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find_pii(df).collect()}
+        took.append(time.time() - began)
+        assert sorted(got[2]) == sorted((k, a + i * len(one), b + i * len(one)) for k, a, b in got[1] for i in range(n))
+    assert len(got[1]) == 2 and took[1] < 30
+
+
 def test_validators_and_context(spark):
     texts = ["IBAN GB82 WEST 1234 5698 7654 32 here", "IBAN GB82 WEST 1234 5698 7654 33 here", "my ssn is 123-45-6789", "part 123-45-6789", "ssn 000-45-6789"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -306,6 +321,21 @@ def test_ids_equal_the_library(vocabulary):
         assert np.frombuffer(ids, "<u4").tolist() == want and own.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_vocabulary_files_of_other_kinds_are_refused(vocabulary):
+    import json
+
+    spec = json.load(open(vocabulary, encoding="utf-8"))
+    bpe.supported(spec)
+    changes = {"normalizer": {"normalizer": {"type": "NFC"}}, "pre_tokenizer": {"pre_tokenizer": {"type": "Whitespace"}}, "model": {"model": spec["model"] | {"ignore_merges": True}}, "decoder": {"decoder": None}}
+    for name, change in changes.items():
+        with pytest.raises(ValueError, match=name):
+            bpe.supported(spec | change)
+
+
+def test_bpe_of_empty_tables(hard, vocabulary):
+    assert bpe.encode_decode(hard.limit(0), vocabulary).count() == 0 and isomedia.text_media(hard.limit(0)).count() == 0
+
+
 def test_bpe_of_hard_rows(hard, vocabulary):
     got, texts = by_id(bpe.encode_decode(hard, vocabulary)), {r["doc_id"]: r["text"] or "" for r in hard.collect()}
     assert all(got[i]["decoded"] == t and got[i]["n_tokens"] * 4 == len(got[i]["ids"]) for i, t in texts.items())
