@@ -8,7 +8,8 @@ touch only what can still merge.
 
 Cases: null or empty text gives no ids and decodes to "". The string of an
 added token inside a text becomes that token, as in the tokenizers library.
-Repeated rows give equal results; long texts are never cut.
+Repeated rows give equal results; long texts are never cut. A file with another
+split, normalizer or model than byte-level BPE raises.
 """
 
 from __future__ import annotations
@@ -40,12 +41,31 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def supported(spec: dict) -> None:
+    """Raises ValueError for files whose parts this module does not follow, rather than giving other ids than the file means."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [
+        name
+        for name, bad in {
+            "model": model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+            "normalizer": spec.get("normalizer") is not None,
+            "pre_tokenizer": before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True),
+            "decoder": (spec.get("decoder") or {}).get("type") != "ByteLevel",
+            "added_tokens": any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")),
+        }.items()
+        if bad
+    ]
+    if wrong:
+        raise ValueError(f"unsupported parts of the vocabulary file: {', '.join(wrong)}")
+
+
 class ByteBPE:
     """A vocabulary file of the tokenizers library (model BPE, byte level)."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        supported(spec)
         vocab, chars = spec["model"]["vocab"], byte_chars()
         self.bytes_of: dict[int, bytes] = {i: bytes(chars[c] for c in token) for token, i in vocab.items()}
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
