@@ -3,12 +3,14 @@
 A line is split at spaces, tabs and carriage returns; a token with a digit is a
 variable field and becomes ``<*>``. The tree has fixed depth: token count, then
 the leading ``LEAD`` tokens, then leaves with the templates of that path. In a
-leaf, a template of at least ``MERGE_TOKENS`` tokens whose remaining tokens,
-cut into ``PARTS`` equal parts, agree with those of the leaf's most frequent
-template in all parts but one joins it: the differing part is one more variable
-field. A template is recurring if it is in at least two different texts. Lines
-of recurring templates are dropped in all documents but the first (the smallest
-id) that has them, so nothing leaves the corpus altogether.
+leaf, the remaining tokens of a template of at least ``MERGE_TOKENS`` tokens are
+cut into ``PARTS`` equal parts; templates that agree in all parts but one, the
+same one, generalise to a common template in which that part is a variable field.
+Each template belongs to PARTS such groups, so every family of a leaf forms,
+however many there are, and no order of the lines matters. A template is
+recurring if it, or a group that it is in, is in at least two different texts.
+Lines of recurring templates are dropped in all documents but the first (the
+smallest id of those groups), so nothing leaves the corpus altogether.
 
 Only hashes travel before the last join: 128 bits for a template and 32 for
 each part. The parsed lines and their aggregate are written as tables, so
@@ -20,8 +22,7 @@ Cases: lines of fewer than ``MIN_TOKENS`` tokens and blank lines always stay.
 Null texts stay null, empty ones empty; a document whose lines all go becomes
 an empty text, never a lost row. Repeated rows (same id and text) get the same
 lines. Copies of a text under other ids count as one text: whole copies are the
-work of document dedup. Ties for the most frequent template go to the one whose
-first document id, then first line number, is smallest.
+work of document dedup.
 """
 
 from __future__ import annotations
@@ -58,22 +59,22 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def recurring(lines: DataFrame) -> DataFrame:
-    """__lead, __line and __first (the id that keeps its lines) of the templates in recurring clusters."""
-    each = cut(lines.groupBy(*TEMPLATE).agg(F.min("__text").alias("__low"), F.max("__text").alias("__high"), F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__count"), F.min("__at").alias("__at")))
+    """__lead, __line and __first (the id that keeps its lines) of recurring templates."""
+    each = cut(lines.groupBy(*TEMPLATE).agg(F.min("__text").alias("__low"), F.max("__text").alias("__high"), F.min("__id").alias("__first")))
     short = each.where((F.col("__n") < MERGE_TOKENS) & (F.col("__low") != F.col("__high"))).select(*NAME, "__first")
     long = each.where(F.col("__n") >= MERGE_TOKENS)
     # Leaves that hold one text only cannot recur, whatever merges in them.
     # Aggregates are cut before they are joined, so that the optimizer can split the join at a hot leaf or template.
     live = cut(long.groupBy("__n", "__lead").agg(F.min("__low").alias("__low"), F.max("__high").alias("__high")).where("__low <> __high").select("__n", "__lead"))
     long = cut(long.join(live, ["__n", "__lead"], "left_semi"))
-    rank = F.struct("__line", "__p01", "__p23")
-    order = F.struct((-F.col("__count")).alias("c"), F.col("__first").alias("i"), F.col("__at").alias("a"), F.col("__line").alias("h"))
-    tops = cut(long.groupBy("__n", "__lead").agg(F.min_by(rank, order).alias("__top")))
-    upper, lower = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
-    agree = sum((f(c) == f(f"__top.{c}")).cast("int") for c in ("__p01", "__p23") for f in (upper, lower))
-    merged = cut(long.join(tops, ["__n", "__lead"]).select(*NAME, F.when(agree >= PARTS - 1, F.col("__top.__line")).otherwise(F.col("__line")).alias("__c"), "__low", "__high", "__first"))
-    clusters = cut(merged.groupBy("__lead", "__c").agg(F.min("__low").alias("__low"), F.max("__high").alias("__high"), F.min("__first").alias("__first")).where("__low <> __high").select("__lead", "__c", "__first"))
-    return short.unionByName(merged.select(*NAME, "__c").join(clusters, ["__lead", "__c"]).select(*NAME, "__first"))
+    upper, lower = F.lit(-(1 << 32)), F.lit(0xFFFFFFFF)
+    blank = lambda k: (F.col("__p01").bitwiseAND(lower if k == 0 else upper) if k < 2 else F.col("__p01"), F.col("__p23").bitwiseAND(lower if k == 2 else upper) if k > 1 else F.col("__p23"))
+    groups = F.array(*(F.struct(F.lit(k).alias("__k"), blank(k)[0].alias("__q01"), blank(k)[1].alias("__q23")) for k in range(PARTS)))
+    member = long.withColumn("__group", F.explode(groups)).select("__n", *NAME, "__group.*", "__low", "__high", "__first")
+    key = ["__n", "__lead", "__k", "__q01", "__q23"]
+    found = cut(member.groupBy(*key).agg(F.min("__low").alias("__low"), F.max("__high").alias("__high"), F.min("__first").alias("__first")).where("__low <> __high").select(*key, "__first"))
+    merged = member.select(*key, "__line").join(found, key).groupBy(*NAME).agg(F.min("__first").alias("__first"))
+    return short.unionByName(merged)
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,15 +121,18 @@ WITH lines AS (
 ), each AS (
   SELECT n, lead, tmpl, {", ".join(f"any_value(p{k}) AS p{k}" for k in range(PARTS))}, min(text) AS lo, max(text) AS hi, min(doc_id) AS first_id, count(*) AS c, min(pos) AS pos
   FROM keyed GROUP BY n, lead, tmpl
-), leaves AS (
-  SELECT * FROM (SELECT n, lead, tmpl, {", ".join(f"p{k} AS q{k}" for k in range(PARTS))}, count(*) OVER (PARTITION BY n, lead) AS templates, row_number() OVER (PARTITION BY n, lead ORDER BY c DESC, first_id, pos) AS r FROM each WHERE n >= {MERGE_TOKENS}) WHERE r = 1 AND templates > 1
-), merged AS (
-  SELECT e.tmpl, e.lo, e.hi, e.first_id, CASE WHEN l.tmpl IS NOT NULL AND {" + ".join(f"CAST(e.p{k} = l.q{k} AS INT)" for k in range(PARTS))} >= {PARTS - 1} THEN l.tmpl ELSE e.tmpl END AS c
-  FROM each e LEFT JOIN leaves l ON e.n = l.n AND e.lead = l.lead AND e.n >= {MERGE_TOKENS}
+), member AS (
+  SELECT tmpl, n, lead, lo, hi, first_id, k, {", ".join(f"CASE WHEN k <> {k} THEN p{k} END AS q{k}" for k in range(PARTS))}
+  FROM each, range({PARTS}) AS parts(k) WHERE n >= {MERGE_TOKENS}
+), found AS (
+  SELECT n, lead, k, {", ".join(f"q{k}" for k in range(PARTS))}, min(first_id) AS first_id
+  FROM member GROUP BY n, lead, k, {", ".join(f"q{k}" for k in range(PARTS))} HAVING min(lo) <> max(hi)
 ), clusters AS (
-  SELECT c, min(first_id) AS first_id FROM merged GROUP BY c HAVING min(lo) <> max(hi)
+  SELECT tmpl, first_id FROM each WHERE n < {MERGE_TOKENS} AND lo <> hi
+  UNION ALL
+  SELECT m.tmpl, min(f.first_id) FROM member m JOIN found f ON m.n = f.n AND m.lead = f.lead AND m.k = f.k AND {" AND ".join(f"m.q{k} IS NOT DISTINCT FROM f.q{k}" for k in range(PARTS))} GROUP BY m.tmpl
 ), gone AS (
-  SELECT DISTINCT k.doc_id, k.text, k.pos FROM keyed k JOIN merged m ON k.tmpl = m.tmpl JOIN clusters USING (c) WHERE k.doc_id <> clusters.first_id
+  SELECT DISTINCT k.doc_id, k.text, k.pos FROM keyed k JOIN clusters USING (tmpl) WHERE k.doc_id <> clusters.first_id
 ), lost AS (
   SELECT doc_id, text, list(pos) AS places FROM gone GROUP BY doc_id, text
 )

@@ -360,6 +360,16 @@ def test_line_templates(spark):
     assert got[6] == texts[6] and got[7] == "" and got[8] == texts[8] and got[9] == texts[9] and got[10] == got[11] == texts[10]
 
 
+def test_every_family_of_a_leaf_generalises(spark):
+    """Two families of notices with the same opening words and length, with names without a digit in different places."""
+    first = "this is the notice of the town of {} that all gates close when the bell rings at night"
+    second = "this is the place where goods from over sea and river are weighed by {} before they go on"
+    names = ["Ann", "Bob", "Cid", "Dora", "Eve", "Finn"]
+    texts = [f"own line number of {n}\n" + form.format(n) for form in (first, second) for n in names]
+    got = same_as_sql(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [("this is the" in got[i]) for i in range(12)] == [True] + [False] * 5 + [True] + [False] * 5
+
+
 def test_line_templates_on_random_texts_and_repeats(spark):
     r = random.Random(8)
     line = lambda: " ".join(r.choice(["a", "b", "c1", "2", "d", ""]) for _ in range(r.randint(0, 16)))
