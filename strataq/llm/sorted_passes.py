@@ -2,7 +2,11 @@
 
 A pass gives each vector the concatenated signs of ``BITS`` random projections,
 orders all vectors by that string and compares each with the ``WINDOW`` next
-ones. Verified pairs of all passes are joined into components. The number of
+ones. Passes do not carry vectors but codes: a signed byte per component and one
+scale, with the length of what the rounding leaves, which bounds the error of a
+cosine. Pairs that the bound decides are decided there; the few it leaves open
+are verified on the vectors. Verified pairs of all passes are joined into
+components. The number of
 passes follows from the row count: a pair at the threshold shares the leading
 log2(n / WINDOW) signs with a known probability, and there are as many passes
 as make a miss in all of them rarer than 1 - ``TARGET`` on even data. What real
@@ -69,9 +73,18 @@ def signs(x: np.ndarray, number: int) -> np.ndarray:
     return ((x @ planes > 0) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))).astype(np.int64)
 
 
+def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of unit rows: signed bytes, scale, and an upper bound of the length of row - scale * bytes."""
+    scale = (np.abs(x).max(1) / 127).astype(np.float32)
+    scale = np.where(scale > 0, scale, np.float32(1))
+    code = np.clip(np.rint(x / scale[:, None].astype(np.float64)), -127, 127).astype(np.int8)
+    error = np.linalg.norm(x - code * scale[:, None].astype(np.float64), axis=1) + 1e-9
+    return code, scale, np.nextafter(error.astype(np.float32), np.float32(np.inf))
+
+
 def keyed(classes: DataFrame, passes: int, start: int = 0) -> DataFrame:
-    """(pass, dim, key, id, vec): one row per class and pass, the passes numbered from ``start``."""
-    schema = T.StructType([T.StructField("pass", T.IntegerType()), T.StructField("dim", T.IntegerType()), T.StructField("key", T.LongType()), classes.schema["id"], classes.schema["vec"]])
+    """(pass, dim, key, id, code, scale, error): one row per class and pass, the passes numbered from ``start``."""
+    schema = T.StructType([T.StructField("pass", T.IntegerType()), T.StructField("dim", T.IntegerType()), T.StructField("key", T.LongType()), classes.schema["id"], T.StructField("code", T.BinaryType()), T.StructField("scale", T.FloatType()), T.StructField("error", T.FloatType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,14 +94,21 @@ def keyed(classes: DataFrame, passes: int, start: int = 0) -> DataFrame:
                 sizes = pa.compute.list_value_length(part.column("vec")).to_numpy(zero_copy_only=False)
                 for d in np.unique(sizes):
                     rows = part.filter(pa.array(sizes == d))
-                    x = matrix(rows.column("vec"))
+                    x, n = matrix(rows.column("vec")), rows.num_rows
+                    code, scale, error = coded(x)
+                    told = [pa.array([c.tobytes() for c in code], pa.binary()), pa.array(scale), pa.array(error)]
                     for p in range(start, start + passes):
-                        n = rows.num_rows
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, d, np.int32)), pa.array(signs(x, p)), rows.column("id").cast(arrow[3].type), rows.column("vec").cast(arrow[4].type)], schema=arrow)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, d, np.int32)), pa.array(signs(x, p)), rows.column("id").cast(arrow[3].type), *told], schema=arrow)
 
     return classes.select("id", "vec").mapInArrow(run, schema)
 
 
+def decoded(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Rows near the unit vectors of ``keyed``, and how far from them at most."""
+    code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.int8).reshape(rows.num_rows, -1)
+    return code * rows.column("scale").to_numpy().astype(np.float64)[:, None], rows.column("error").to_numpy().astype(np.float64)
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable over the edges, for each of n nodes."""
     root = np.arange(n)
@@ -113,8 +133,8 @@ def needed(keys: np.ndarray, window: int) -> np.ndarray:
 
 
 def windowed(rows: DataFrame, cosine: float, window: int) -> DataFrame:
-    """(a, b) edges that span the verified pairs of each sorted partition; with null b, ``miss``: the logarithm of the chance that the pass misses a pair of a."""
-    schema = T.StructType([T.StructField("a", rows.schema["id"].dataType), T.StructField("b", rows.schema["id"].dataType), T.StructField("miss", T.DoubleType())])
+    """(a, b) of each sorted partition: with ``sure``, edges that span the pairs which their codes prove; without, pairs across these whose codes leave it open. With null b, ``miss``: the logarithm of the chance that the pass misses a pair of a."""
+    schema = T.StructType([T.StructField("a", rows.schema["id"].dataType), T.StructField("b", rows.schema["id"].dataType), T.StructField("sure", T.BooleanType()), T.StructField("miss", T.DoubleType())])
     arrow = to_arrow_schema(schema)
     same = 1 - math.acos(cosine) / math.pi
 
@@ -129,7 +149,11 @@ def windowed(rows: DataFrame, cosine: float, window: int) -> DataFrame:
             miss[max(n - window - 1, 0) :] = 0.0
         for k in range(0, n, ROWS_AT_ONCE):
             part = ids[k : k + ROWS_AT_ONCE]
-            yield pa.RecordBatch.from_arrays([pa.array(part, arrow[0].type), pa.nulls(len(part), arrow[1].type), pa.array(miss[k : k + ROWS_AT_ONCE])], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(part, arrow[0].type), pa.nulls(len(part), arrow[1].type), pa.nulls(len(part), pa.bool_()), pa.array(miss[k : k + ROWS_AT_ONCE])], schema=arrow)
+
+    def edges(ids: list, a: np.ndarray, b: np.ndarray, sure: bool) -> Iterator[pa.RecordBatch]:
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in a], arrow[0].type), pa.array([ids[i] for i in b], arrow[1].type), pa.array(np.full(len(a), sure)), pa.nulls(len(a), pa.float64())], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: tuple | None = None  # the last rows of what came before
@@ -142,7 +166,7 @@ def windowed(rows: DataFrame, cosine: float, window: int) -> DataFrame:
                 group = part.column("pass").to_numpy().astype(np.int64) << 32 | part.column("dim").to_numpy()
                 for g in np.unique(group):
                     rows = part.filter(pa.array(group == g))
-                    x, ids = matrix(rows.column("vec")), rows.column("id").to_pylist()
+                    (x, far), ids = decoded(rows), rows.column("id").to_pylist()
                     if now is not None and now != g:
                         yield from misses(keys, held, first, False)
                         keys, held, first = [], [], False
@@ -150,24 +174,47 @@ def windowed(rows: DataFrame, cosine: float, window: int) -> DataFrame:
                     keys.append(rows.column("key").to_numpy())
                     held += ids
                     if carry is not None and carry[0] == g:
-                        x, ids = np.concatenate([carry[1], x]), carry[2] + ids
-                    a, b = [], []
+                        x, far, ids = np.concatenate([carry[1], x]), np.concatenate([carry[3], far]), carry[2] + ids
+                    a, b, low = [], [], []
                     for step in range(1, min(window, len(x) - 1) + 1):
-                        hit = np.flatnonzero(np.einsum("ij,ij->i", x[:-step], x[step:]) >= cosine)
+                        near = np.einsum("ij,ij->i", x[:-step], x[step:])
+                        slack = far[:-step] + far[step:] + far[:-step] * far[step:]
+                        hit = np.flatnonzero(near + slack >= cosine)
                         a.append(hit)
                         b.append(hit + step)
+                        low.append(near[hit] - slack[hit] >= cosine)
                     if a:
-                        root = local_roots(len(x), np.concatenate(a), np.concatenate(b))
+                        left, right, proved = np.concatenate(a), np.concatenate(b), np.concatenate(low)
+                        root = local_roots(len(x), left[proved], right[proved])
                         at = np.flatnonzero(root != np.arange(len(x)))
-                        if len(at):
-                            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in root[at]], arrow[0].type), pa.array([ids[i] for i in at], arrow[1].type), pa.nulls(len(at), pa.float64())], schema=arrow)
-                    carry = (g, x[-window:], ids[-window:])
+                        yield from edges(ids, root[at], at, True)
+                        unsettled = ~proved & (root[left] != root[right])
+                        yield from edges(ids, left[unsettled], right[unsettled], False)
+                    carry = (g, x[-window:], ids[-window:], far[-window:])
         if held:
             yield from misses(keys, held, first, True)
 
     return rows.mapInArrow(run, schema)
 
 
+def verified(pairs: DataFrame, classes: DataFrame, cosine: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose vectors are linked."""
+    vec = lambda c: classes.select(F.col("id").alias(c), F.col("vec").alias(f"vec_{c}"))
+    joined = pairs.join(vec("a"), "a").join(vec("b"), "b").select("a", "b", "vec_a", "vec_b")
+    schema = T.StructType([T.StructField(c, classes.schema["id"].dataType) for c in ("a", "b")])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pa.compute.list_value_length(batch.column("vec_a")).to_numpy(zero_copy_only=False)
+            for d in np.unique(sizes):
+                rows = batch.filter(pa.array(sizes == d))
+                hit = np.einsum("ij,ij->i", matrix(rows.column("vec_a")), matrix(rows.column("vec_b"))) >= cosine
+                yield rows.filter(pa.array(hit)).select(["a", "b"]).cast(arrow)
+
+    return joined.mapInArrow(run, schema)
+
+
 def exact(rows: DataFrame, n: int, cosine: float) -> DataFrame:
     """(a, b) edges that span all linked pairs of ``rows`` (id, vec), n of them, by comparing blocks."""
     parts = math.ceil(n / BLOCK)
@@ -201,7 +248,8 @@ def linked_pairs(classes: DataFrame, n: int, cosine: float, window: int) -> Data
         passes = passes_for(n, cosine, window)
         order = keyed(left, passes, start).repartitionByRange(parts, "pass", "dim", "key", "id").sortWithinPartitions("pass", "dim", "key", "id")
         told = cut(windowed(order, cosine, window))
-        found = told.where("b IS NOT NULL").select("a", "b")
+        unsettled = told.where("NOT sure").select("a", "b").distinct()
+        found = told.where("sure").select("a", "b").unionByName(verified(unsettled, classes, cosine))
         edges = found if edges is None else edges.unionByName(found)
         chance = told.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("miss").alias("more"))
         left = cut(left.join(chance, "id").select("id", "vec", (F.col("miss") + F.col("more")).alias("miss")).where(F.col("miss") > math.log(1 - TARGET)))

@@ -177,6 +177,20 @@ def test_vectors_equal_brute_force(spark):
     assert all(got[i]["kept"] == (want[i] == i) for i in range(len(x)))
 
 
+def test_codes_bound_the_cosine():
+    """What the codes prove or rule out is so: for vectors near the threshold, and for hard shapes."""
+    r = np.random.default_rng(11)
+    base = r.normal(size=(4000, 24))
+    other = base + r.normal(size=base.shape) * r.uniform(0.2, 0.5, (len(base), 1))
+    spiky = np.where(r.random((200, 24)) < 0.1, 1e6, 1e-3) * r.normal(size=(200, 24))
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x, y = unit(np.concatenate([base, spiky])), unit(np.concatenate([other, spiky[::-1]]))
+    (a, sa, ea), (b, sb, eb) = sorted_passes.coded(x), sorted_passes.coded(y)
+    guess = np.einsum("ij,ij->i", a * sa[:, None].astype(float), b * sb[:, None].astype(float))
+    ea, eb = ea.astype(float), eb.astype(float)
+    assert (np.abs(guess - np.einsum("ij,ij->i", x, y)) <= ea + eb + ea * eb).all() and ea.max() < 0.02
+
+
 def test_pairs_inside_a_dense_cone(spark, monkeypatch):
     r = np.random.default_rng(5)
     unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
