@@ -7,19 +7,20 @@ of the file, and from the tag before; Viterbi finds the best tags of a whole
 chain. A secret is a B with the I that follow: a key is many tokens here, and so
 are dotted tokens, passwords with signs, phrases and the lines of a key block.
 
-Chains are stretches of text around anchors: hint words, and runs of eight or
-more characters that mix letters with digits or cases. A stretch has ``BEFORE``
-characters before its anchor and ``AFTER`` behind it, to the ends of the runs
-there; stretches that touch are one chain. Elsewhere nothing is tagged.
+A whole text is one chain: every token is scored, wherever it stands. Features
+and scores of all tokens come from numpy at once. Most tokens of prose are
+outside beyond doubt: a bound shows that no path that leaves O there can be the
+best one (``outside``). So Viterbi runs between them and gives the best tags of
+the whole text, not nearly the best.
 
 The field is trained here, on sentences that a fixed rule writes
-(``labelled_rows``); weights come from full-batch gradient steps on the exact
+(``labelled_rows``); weights come from full-batch gradient steps (Adam) on the exact
 log-likelihood of emissions and transitions, so every run gets the same ones.
 The only fixed weight is that I never begins a chain or follows O.
 
 Cases: null or empty text has no spans. Spans of the field that overlap a
 pattern span are left out; pattern spans always stay. Repeated rows give equal
-results. Patterns, chains and tokens are found in linear time on whole texts.
+results. Patterns and tokens are found in linear time on whole texts.
 """
 
 from __future__ import annotations
@@ -46,122 +47,128 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "crf")
 
-BEFORE, AFTER = 60, 80
-TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\x00-\x7f]+|[^\sA-Za-z0-9]")
-RUN = re.compile(r"[A-Za-z0-9+/_.-]{8,}")
-LETTER, DIGIT, TURN = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]"), re.compile(r"[a-z][A-Z]")
 #: Words that speak for a secret close behind them, and words that speak against one.
 HINTS = set("password passwd passphrase passcode pass pwd secret token key apikey credential credentials auth authorization bearer private login begin signature".split())
 DULL = set("commit sha md5 checksum digest build version release uuid guid id order invoice ref http https file path page ip date phone tel host user email mail see".split())
 ANCHOR = re.compile(r"(?i)(?<![a-z])(?:" + "|".join(sorted(HINTS)) + r")(?![a-z])")
-VOWELS = set("aeiouyAEIOUY")
+LONGEST = 13  # letters, of a hint or dull word: a number in base 27 holds that many
 
 SCHEMA = T.StructType([*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_spans", T.StringType()), T.StructField("spans", T.StringType())])
 B, I, O = range(3)
-Token = tuple[int, int, list[str]]
+SPACE, LETTERS, DIGITS, FOREIGN, SIGN = range(5)
+#: Kind of each ASCII sign, and of any other one last.
+SORTS = np.array([SPACE if chr(k).isspace() else LETTERS if chr(k).isalpha() else DIGITS if chr(k).isdigit() else SIGN for k in range(128)] + [FOREIGN], np.uint8)
+UPPER, VOWEL = (np.array([chr(k) in chars for k in range(129)]) for chars in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "aeiouyAEIOUY"))
+LETTER = np.array([ord(chr(k).lower()) - 96 if chr(k).isalpha() else 0 for k in range(128)] + [0], np.int64)
+POWERS = 27 ** np.arange(LONGEST)
+#: Shapes are 0 to 5, then the signs by code; one more is the edge of the text.
+S_DIGITS, S_FOREIGN, S_LOWER, S_UPPER, S_TITLE, S_MIXED, S_SIGN = range(7)
+EDGE = S_SIGN + 128
+START, GLUED, LINE, SPACED = range(4)
+#: Features of a token, and how many values each has. Their weights follow one another.
+VALUES = {
+    "bias": 1, "file": 2, "kind": 8, "size": 8, "many": 8, "kind size": 64, "gap": 4, "shape": EDGE, "len": 8, "near": 3, "near kind": 24,
+    "wordlike": 2, "known": 2, "before": (EDGE + 1) * 4, "after": (EDGE + 1) * 4, "before2": EDGE,
+}
+FIRST = dict(zip(VALUES, np.cumsum([0, *VALUES.values()]).tolist(), strict=False))
+NONE = sum(VALUES.values())  # the feature that weighs nothing
+Token = tuple[int, int, tuple[int, ...]]
 
 
-def bucket(n: int) -> int:
-    """1, 2, 3, 5, 9, 17 or 33 for the largest of these that n reaches."""
-    return next(k for k in (33, 17, 9, 5, 3, 2, 1, 0) if n >= k)
+def bucket(n: np.ndarray) -> np.ndarray:
+    """0 to 7 for the largest of 0, 1, 2, 3, 5, 9, 17 and 33 that n reaches."""
+    return np.searchsorted([1, 2, 3, 5, 9, 17, 33], n, side="right")
 
 
-def shape(word: str) -> str:
-    if word.isdigit():
-        return "digits"
-    if not word.isascii():
-        return "foreign"
-    if not word.isalpha():
-        return "sign" + word
-    return "lower" if word.islower() else "upper" if word.isupper() else "title" if word[1:].islower() else "mixed"
+def packed_words(words: set[str]) -> np.ndarray:
+    return np.array(sorted(sum((ord(c) - 96) * 27**k for k, c in enumerate(w)) for w in words if w.isalpha()), np.int64)
 
 
-def wordlike(word: str) -> bool:
-    """Whether vowels and consonants take turns as in words."""
-    share = sum(c in VOWELS for c in word) / len(word)
-    streak = longest = 0
-    for c in word:
-        streak = 0 if c in VOWELS else streak + 1
-        longest = max(longest, streak)
-    return 0.2 <= share <= 0.75 and longest <= 4
+PACKED = packed_words(HINTS), packed_words(DULL)
+
+
+def within(marks: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many of ``marks`` hold in each range."""
+    sums = np.zeros(len(marks) + 1, np.int32)
+    np.cumsum(marks, out=sums[1:])
+    return sums[high] - sums[low]
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Start and end of the parts of ``text`` that are chains."""
-    spots = [m.span() for m in ANCHOR.finditer(text)]
-    for m in RUN.finditer(text):
-        x = m[0]
-        if LETTER.search(x) and DIGIT.search(x) or TURN.search(x):
-            spots.append(m.span())
-    out: list[list[int]] = []
-    for a, b in sorted(spots):
-        low, high = max(0, a - BEFORE), min(len(text), b + AFTER)
-        if out and low <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], high)
-        else:
-            out.append([low, high])
-    # To the ends of the runs at the edges, which cannot reach over white space.
-    space = re.compile(r"\s")
-    done: list[tuple[int, int]] = []
-    for low, high in out:
-        while low > 0 and not text[low - 1].isspace() and low > (done[-1][1] if done else 0):
-            low -= 1
-        stop = space.search(text, high)
-        high = stop.start() if stop else len(text)
-        if done and low <= done[-1][1]:
-            done[-1] = (done[-1][0], max(high, done[-1][1]))
-        else:
-            done.append((low, high))
-    return done
-
-
-def chain(text: str, low: int, high: int, file: str) -> list[Token]:
-    """(start, end, features) of the tokens of one stretch."""
-    found = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text, low, high)]
-    n = len(found)
-    shapes = [shape(w) for _, _, w in found]
-    gaps = ["start"] + ["glued" if found[k][0] == found[k - 1][1] else "line" if "\n" in text[found[k - 1][1] : found[k][0]] else "space" for k in range(1, n)]
-    out: list[Token] = []
-    at = 0
-    hint, since = "none", 99
-    while at < n:
-        stop = at + 1
-        while stop < n and gaps[stop] == "glued":
-            stop += 1
-        run = text[found[at][0] : found[stop - 1][1]]
-        letters, digits = bool(LETTER.search(run)), bool(DIGIT.search(run))
-        kind = f"run{'A' if letters else ''}{'1' if digits else ''}{'T' if TURN.search(run) else ''}"
-        sized, many = f"runsize{bucket(len(run))}", f"runtokens{bucket(stop - at)}"
-        for k in range(at, stop):
-            a, b, w = found[k]
-            features = ["bias", file, kind, sized, many, kind + sized, f"{gaps[k]}", shapes[k], f"len{bucket(b - a)}", f"near{hint if since <= 6 else 'none'}", f"near{hint if since <= 6 else 'none'}{kind}"]
-            if w.isalpha() and w.isascii():
-                features.append("word" if wordlike(w) else "odd")
-                low_case = w.lower()
-                known = "hint" if low_case in HINTS else "dull" if low_case in DULL else None
-                if known:
-                    features.append("is" + known)
-                    hint, since = known, 0
-                else:
-                    since += 1
-            else:
-                since += 0 if shapes[k][:4] == "sign" else 1
-            features.append(f"before{shapes[k - 1] if k else 'start'}{gaps[k]}")
-            features.append(f"after{shapes[k + 1] if k + 1 < n else 'end'}{gaps[k + 1] if k + 1 < n else ''}")
-            if k > 1:
-                features.append(f"before2{shapes[k - 2]}")
-            out.append((a, b, features))
-        at = stop
-    return out
+    """Start and end of the parts of ``text`` that are chains: all of it."""
+    return [(0, len(text))] if text else []
+
+
+def features(text: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Starts and ends of all tokens of ``text``, and for each of VALUES the feature numbers of the tokens."""
+    codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 128).astype(np.uint8)
+    sorts = SORTS[codes]
+    turn = sorts[1:] != sorts[:-1]
+    own = sorts == SIGN
+    low = np.flatnonzero((sorts != SPACE) & (own | np.r_[True, turn]))
+    high = np.flatnonzero((sorts != SPACE) & (own | np.r_[turn, True])) + 1
+    n = len(low)
+    if not n:
+        return low, high, [low] * len(VALUES)
+    sort, size = sorts[low], high - low
+    letters, sign = sort == LETTERS, sort == SIGN
+    upper = UPPER[codes]
+    uppers = within(upper, low, high)
+    shape = np.select(
+        [sign, sort == DIGITS, sort == FOREIGN, uppers == 0, uppers == size, (uppers == 1) & upper[low]],
+        [S_SIGN + codes[low].astype(np.int64), S_DIGITS, S_FOREIGN, S_LOWER, S_UPPER, S_TITLE],
+        S_MIXED,
+    )
+    gap = np.full(n, START)
+    if n > 1:
+        gap[1:] = np.where(low[1:] == high[:-1], GLUED, np.where(within(codes == 10, high[:-1], low[1:]) > 0, LINE, SPACED))
+    # Runs of glued tokens.
+    head = np.flatnonzero(gap != GLUED)
+    tail = np.r_[head[1:], n]
+    run = np.repeat(np.arange(len(head)), tail - head)
+    a, b = low[head], high[tail - 1]
+    rising = np.zeros(len(codes), bool)
+    rising[:-1] = (sorts[:-1] == LETTERS) & ~upper[:-1] & upper[1:]
+    kinds = np.logical_or.reduceat(letters, head) + 2 * np.logical_or.reduceat(sort == DIGITS, head) + 4 * (within(rising, a, b) > 0)
+    kind, run_size, many = kinds[run], bucket(b - a)[run], bucket(tail - head)[run]
+    # Words whose vowels and consonants take turns: not more than four consonants in a row.
+    vowels = VOWEL[codes]
+    consonants = (sorts == LETTERS) & ~vowels
+    five = np.zeros(len(codes), bool)
+    if len(codes) > 4:
+        five[:-4] = consonants[:-4] & consonants[1:-3] & consonants[2:-2] & consonants[3:-1] & consonants[4:]
+    share = within(vowels, low, high) / size
+    wordlike = np.where((0.2 <= share) & (share <= 0.75) & (within(five, low, high) == 0), 0, 1)
+    # Hint (1) and dull (2) words, and the last of them before each token, if at most six words or numbers lie between.
+    known = np.zeros(n, np.int64)
+    short = np.flatnonzero(letters & (size <= LONGEST))
+    at = np.arange(LONGEST)
+    spelt = np.where(at < size[short, None], LETTER[codes[np.minimum(low[short, None] + at, len(codes) - 1)]], 0) @ POWERS
+    for value, words in enumerate(PACKED, 1):
+        place = np.minimum(np.searchsorted(words, spelt), len(words) - 1)
+        known[short[words[place] == spelt]] = value
+    last = np.r_[-1, np.maximum.accumulate(np.where(known > 0, np.arange(n), -1))[:-1]]
+    passed = np.cumsum(~sign & (known == 0))
+    since = np.r_[0, passed[:-1]] - passed[last]
+    near = np.where((last >= 0) & (since <= 6), known[last], 0)
+    config = (text.count("=") + text.count('":') + text.count(";")) * 12 > text.count(" ") + 1
+    flat = np.zeros(n, np.int64)
+    found = {
+        "bias": flat, "file": flat + config, "kind": kind, "size": run_size, "many": many, "kind size": kind * 8 + run_size, "gap": gap, "shape": shape, "len": bucket(size),
+        "near": near, "near kind": near * 8 + kind, "wordlike": np.where(letters, wordlike, -1), "known": known - 1,
+        "before": np.r_[EDGE, shape[:-1]] * 4 + gap, "after": np.r_[shape[1:], EDGE] * 4 + np.r_[gap[1:], START], "before2": np.r_[[-1] * min(n, 2), shape[:-2]],
+    }
+    return low, high, [np.where(found[f] < 0, NONE, FIRST[f] + found[f]) for f in VALUES]
 
 
 def chains(text: str) -> list[list[Token]]:
-    where = stretches(text)
-    if not where:
-        return []
-    marks, words = text.count("=") + text.count('":') + text.count(";"), text.count(" ") + 1
-    file = "config" if marks * 12 > words else "prose"
-    return [c for a, b in where if (c := chain(text, a, b, file))]
+    """(start, end, feature numbers) of the tokens of each chain."""
+    out = []
+    for a, b in stretches(text):
+        low, high, x = features(text[a:b])
+        if len(low):
+            out.append(list(zip((low + a).tolist(), (high + a).tolist(), map(tuple, np.stack(x, 1).tolist()), strict=True)))
+    return out
 
 
 def syllables(r: random.Random, low: int, high: int) -> str:
@@ -174,6 +181,8 @@ def labelled_rows(n: int = 600, seed: int = 7) -> list[tuple[str, list[tuple[int
     lower, upper, digits, hexes = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     word = lambda: syllables(r, 1, 4)
+    foreign = lambda: "".join(r.choice([word(), r.choice("áéíóúñäöüßèêçà")]) for _ in range(r.randint(2, 4)))
+    noise = lambda: r.choice([word, word, foreign])() + r.choice([".", ",", "", ""]) + r.choice("!#$%&*~=-_+?") * r.randint(2, 4)
     words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
     both = lower + upper + digits
     bare = [  # known by their look alone
@@ -236,6 +245,8 @@ def labelled_rows(n: int = 600, seed: int = 7) -> list[tuple[str, list[tuple[int
             else:
                 text += r.choice(["", "", "", '"', "= "]) + r.choice(alike)()
             text += r.choice([" ", " ", "\n", ". ", ", ", "; "]) + words(1, 6) + " "
+        if k % 4 == 1:  # prose of other letters, and with signs behind its words
+            text += " ".join(r.choice([word, foreign, foreign, noise])().capitalize() if r.random() < 0.2 else r.choice([word, foreign, foreign, noise])() for _ in range(r.randint(5, 25))) + r.choice([" ", ".\n"])
         out.append((text + (";\n" + "a = 1; " * r.randint(2, 9) if k % 3 == 0 else ""), spans))
     return out
 
@@ -249,59 +260,48 @@ def tagged(tokens: list[Token], spans: list[tuple[int, int]]) -> list[int]:
 
 
 Model = tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]
-
-
-def indices(tokens: list[Token], names: dict[str, int], width: int) -> np.ndarray:
-    """Feature numbers, filled up with the last one, which weighs nothing."""
-    out = np.full((len(tokens), width), len(names))
-    for row, (_, _, features) in zip(out, tokens, strict=True):
-        got = [names[f] for f in features if f in names]
-        row[: len(got)] = got
-    return out
-
-
-WIDTH = 16
 NEVER = -30.0
 
 
 @lru_cache(maxsize=1)
-def trained(steps: int = 120, rate: float = 0.4, decay: float = 2e-5) -> Model:
-    """Feature numbers, emission weights (feature, tag), transition weights (tag, tag) and start weights."""
+def trained(steps: int = 300, rate: float = 0.05, decay: float = 2e-5) -> Model:
+    """First number of each feature, emission weights (feature number, tag), transition weights (tag, tag) and start weights."""
     rows = [(c, tagged(c, spans)) for text, spans in labelled_rows() for c in chains(text)]
-    rows = [(c, t) for c, t in rows if t[0] != I]
-    names = {f: k for k, f in enumerate(sorted({f for c, _ in rows for _, _, fs in c for f in fs}))}
+    rows = sorted(((c, t) for c, t in rows if t[0] != I), key=lambda row: -len(row[1]))  # so that live rows come first
     length, n = max(len(t) for _, t in rows), len(rows)
     live = np.zeros((n, length), bool)
     y = np.zeros((n, length), int)
     for k, (_, t) in enumerate(rows):
         live[k, : len(t)], y[k, : len(t)] = True, t
-    x = np.concatenate([indices(c, names, WIDTH) for c, _ in rows])
+    x = np.array([numbers for c, _ in rows for _, _, numbers in c])
     wanted = np.eye(3)[y] * live[:, :, None]
     pairs = live[:, 1:]  # live is a run from the start of each row
+    lives, row_of, pair_of = live.sum(0).tolist(), np.nonzero(live)[0], np.nonzero(pairs)[0]
     turns_wanted = np.einsum("nta,ntb->ab", wanted[:, :-1] * pairs[:, :, None], wanted[:, 1:])
-    emit, move, start = np.zeros((len(names) + 1, 3)), np.zeros((3, 3)), np.array([0.0, NEVER, 0.0])
+    emit, move, start = np.zeros((NONE + 1, 3)), np.zeros((3, 3)), np.array([0.0, NEVER, 0.0])
     move[O, I] = NEVER
     free = move > NEVER
-    squares = [np.full(w.shape, 1e-6) for w in (emit, move)]
+    means, squares = ([np.zeros_like(w) for w in (emit, move)] for _ in range(2))
     scores = np.zeros((n, length, 3))
-    for _ in range(steps):
+    for step in range(1, steps + 1):
         scores[live] = emit[x].sum(1)
         ahead, back = np.zeros_like(scores), np.zeros_like(scores)
         ahead[:, 0] = start + scores[:, 0]
-        for t in range(1, length):
-            ahead[:, t] = np.where(live[:, t, None], total(ahead[:, t - 1, :, None] + move, 1) + scores[:, t], ahead[:, t - 1])
-        for t in range(length - 2, -1, -1):
-            back[:, t] = np.where(live[:, t + 1, None], total(move + (scores[:, t + 1] + back[:, t + 1])[:, None, :], 2), 0)
-        whole = total(ahead[:, -1], 1)
-        chance = np.exp(ahead + back - whole[:, None, None]) * live[:, :, None]
-        turn = np.exp(ahead[:, :-1, :, None] + move + (scores[:, 1:] + back[:, 1:])[:, :, None, :] - whole[:, None, None, None]) * pairs[:, :, None, None]
-        gap = np.repeat((wanted - chance)[live], WIDTH, axis=0)
-        slope = np.stack([np.bincount(x.ravel(), gap[:, t], len(names) + 1) for t in range(3)], 1)
+        for t, m in enumerate(lives[1:], 1):
+            ahead[:m, t] = total(ahead[:m, t - 1, :, None] + move, 1) + scores[:m, t]
+        for t, m in reversed(list(enumerate(lives[1:]))):
+            back[:m, t] = total(move + (scores[:m, t + 1] + back[:m, t + 1])[:, None, :], 2)
+        whole = total(ahead[:, 0] + back[:, 0], 1)
+        chance = np.exp((ahead + back)[live] - whole[row_of, None])
+        turn = np.exp(ahead[:, :-1][pairs][:, :, None] + move + (scores[:, 1:] + back[:, 1:])[pairs][:, None, :] - whole[pair_of, None, None])
+        gap = np.repeat(wanted[live] - chance, len(VALUES), axis=0)
+        slope = np.stack([np.bincount(x.ravel(), gap[:, t], NONE + 1) for t in range(3)], 1)
         slope[-1] = 0
-        for w, g, s, on in ((emit, slope / n - decay * emit, squares[0], True), (move, (turns_wanted - turn.sum((0, 1))) / n, squares[1], free)):
-            s += g * g
-            w += np.where(on, rate * g / np.sqrt(s), 0)
-    return names, emit, move, start
+        for w, g, mean, square, on in ((emit, slope / n - decay * emit, means[0], squares[0], True), (move, (turns_wanted - turn.sum(0)) / n, means[1], squares[1], free)):
+            mean += 0.1 * (g - mean)
+            square += 0.01 * (g * g - square)
+            w += np.where(on, rate * mean / (1 - 0.9**step) / (np.sqrt(square / (1 - 0.99**step)) + 1e-5), 0)
+    return FIRST, emit, move, start
 
 
 def total(a: np.ndarray, axis: int) -> np.ndarray:
@@ -329,16 +329,51 @@ def viterbi(scores: np.ndarray, move: np.ndarray, start: np.ndarray) -> list[int
     return tags[::-1]
 
 
+def outside(scores: np.ndarray, move: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Tokens that the best path tags O for certain.
+
+    A path leaves O for a B, goes on with B or I, and comes back. Here is the most
+    that any such way through a token can score above the same way all in O; where
+    that is below 0, the best path has none.
+    """
+    over = move - move[O, O]
+    gain = scores - scores[:, O, None]
+    enter = np.maximum(gain[:, B] + over[O, B], gain[:, I] + over[O, I])
+    enter[0] = max(gain[0, B] + start[B] - start[O], gain[0, I] + start[I] - start[O])
+    inside = np.maximum(gain[:, B] + over[[B, I], B].max(), gain[:, I] + over[[B, I], I].max())
+    sums = np.cumsum(inside)
+    left = np.maximum.accumulate(enter - sums)  # entered at this token or before
+    right = np.maximum.accumulate(sums[::-1])[::-1]  # left O until some token from here on
+    return left + right + max(0.0, over[B, O], over[I, O]) < -1e-6
+
+
+def best_tags(scores: np.ndarray, move: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The tags of the best path: Viterbi between the tokens that are O for certain."""
+    tags = np.full(len(scores), O)
+    edge = np.diff(np.r_[False, ~outside(scores, move, start), False].astype(np.int8))
+    for a, b in zip(np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist(), strict=True):
+        part = scores[a:b].copy()
+        if b < len(scores):
+            part[-1] += move[:, O]
+        tags[a:b] = viterbi(part, move, move[O] if a else start)
+    return tags
+
+
 def crf_spans(text: str, model: Model) -> list[tuple[int, int]]:
-    names, emit, move, start = model
+    _, emit, move, start = model
+    low, high, x = features(text)
+    if not len(low):
+        return []
+    scores = np.zeros((len(low), 3))
+    for numbers in x:
+        scores += emit[numbers]
+    tags = best_tags(scores, move, start)
     out: list[list[int]] = []
-    for tokens in chains(text):
-        tags = viterbi(emit[indices(tokens, names, WIDTH)].sum(1), move, start)
-        for (a, b, _), tag in zip(tokens, tags, strict=True):
-            if tag == B:
-                out.append([a, b])
-            elif tag == I and out:
-                out[-1][1] = b
+    for k in np.flatnonzero(tags != O).tolist():
+        if tags[k] == B:
+            out.append([int(low[k]), int(high[k])])
+        elif out:
+            out[-1][1] = int(high[k])
     return [(a, b) for a, b in out]
 
 

@@ -117,6 +117,30 @@ def test_viterbi_is_the_best_of_all_paths():
         assert secrets.viterbi(scores, move, start) == list(max(itertools.product(range(3), repeat=n), key=value))
 
 
+def test_every_token_of_a_text_is_tagged():
+    token = re.compile(r"[A-Za-z]+|[0-9]+|[^\x00-\x7f]+|[^\sA-Za-z0-9]")
+    r = random.Random(8)
+    pieces = ["plain words ", "token", "12", "é ß", "\n", "\x1c", "$$", "a1", " " * 90, "😀", "x" * 50, "\u00a0"]
+    for text in ["", "\n ", "nothing here speaks for a secret " * 9, *("".join(r.choice(pieces) for _ in range(r.randint(1, 30))) for _ in range(300))]:
+        assert [t[:2] for c in secrets.chains(text) for t in c] == [m.span() for m in token.finditer(text)]
+    far = "the passphrase is" + " " * 200 + '"mora kelin dusta werin pola"'  # far behind its hint word, and of plain words
+    assert [far[a:b] for a, b in secrets.crf_spans(far, secrets.trained())] == ["mora kelin dusta werin pola"]
+
+
+def test_tokens_that_are_outside_for_certain_change_no_tag():
+    _, emit, move, start = secrets.trained()
+    r = np.random.default_rng(4)
+    cases = [r.normal(size=(n, 3)) * 3 + [0, 0, shift] for n in (1, 2, 3, 40) for shift in (-2, 1, 4) for _ in range(40)]
+    for text, _ in secrets.labelled_rows(100, 5):
+        low, _, x = secrets.features(text)
+        cases.append(sum((emit[numbers] for numbers in x), np.zeros((len(low), 3))))
+    sure = 0
+    for scores in cases:
+        assert secrets.best_tags(scores, move, start).tolist() == secrets.viterbi(scores, move, start)
+        sure += secrets.outside(scores, move, start).sum()
+    assert sure > 1000
+
+
 def test_secrets_of_hard_rows(hard):
     got = by_id(secrets.find_secrets(hard))
     assert len(got) == 10 and got[0]["spans"] == got[1]["spans"] == "" and (got[9]["n_assign"], got[9]["n_access"]) == (1, 1)
