@@ -24,13 +24,14 @@ the whole texts, and verified links joined into components.
 A class that links with one of a band may still link with another there. So the
 bands whose classes then lie in different components (families of texts that
 share much, each with many groups) are compared pair by pair, in blocks of about
-``BLOCK`` classes spread over tasks. Pairs are not handed on: a task tells first a
-spanning forest of the pairs whose estimate reaches ``SURE``, which are then
-verified like the others; of what still lies in different components, classes
-with a partner that reaches FLOOR, and then, on ``FINE`` further one-byte slots,
-FINE_FLOOR, go on, and a last pass verifies in the task itself, the closest pairs
-first and none that earlier ones have joined, and tells the links that joined.
-So rows stay linear in the classes, and every pair of a band ends in one
+``BLOCK`` classes spread over tasks; a block is one row, so what is handed on is a
+row for each class and a row for each pair of blocks. Pairs are not handed on: a
+task tells first a spanning forest of the pairs whose estimate reaches ``SURE``,
+which are then verified like the others; of what still lies in different
+components, classes with a partner that reaches FLOOR, and then, on ``FINE``
+further one-byte slots, FINE_FLOOR, go on into new blocks, and a last pass
+verifies in the task itself, the closest pairs first and none that earlier ones
+have joined, and tells the links that joined. So every pair of a band ends in one
 component or is known to be no link.
 
 Words are maximal runs of letters and digits, lower case. Cases: texts of fewer
@@ -63,6 +64,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 SLOTS, BANDS, ROWS = 64, 16, 4
 FLOOR = 0.56
 FINE, FINE_FLOOR, SURE, BLOCK = 1024, 0.746, 0.86, 256
+BLOCK_CHARS = 4_000_000
 WORD = re.compile(r"[^\W_]+")
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -187,46 +189,61 @@ def fine_slots(texts: DataFrame) -> DataFrame:
 
 
 def blocks_of(rows: DataFrame) -> DataFrame:
-    """``rows`` (band, id, root, n, top, ...), n the rows of the band and top the root that most of them have, with own (block of the row) and once for each pair (i, j) of blocks that it is in.
+    """``rows`` (band, id, root, n, top, ...), n the rows of the band and top the root that most of them have, as blocks: (band, i, j, own, members), a row for each pair (i, j) of blocks that block own is in.
 
     Rows of the top root need no comparison with each other: their blocks meet
     those of the other rows only. So a band costs the rows of its top root times
-    the blocks of the others, not the square of all.
+    the blocks of the others, not the square of all. A row of a block holds all of
+    its members, so rows of single classes are never multiplied. Blocks hold about
+    BLOCK rows, and fewer where their texts reach BLOCK_CHARS.
     """
-    sizes = rows.groupBy("band").agg(F.sum((F.col("root") != F.col("top")).cast("int")).alias("others"))
-    rows = rows.join(cut(sizes), "band")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = cut(rows)
+    chars = F.length("text").cast("long") if "text" in rows.columns else F.lit(0).cast("long")
+    main = F.col("root") == F.col("top")
+    sizes = rows.groupBy("band").agg(F.sum((~main).cast("int")).alias("others"), F.sum(chars).alias("chars"), F.sum(F.when(main, 0).otherwise(chars)).alias("other_chars"))
+    sized = rows.join(cut(sizes), "band")
+    blocks = lambda n, c: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(c) / BLOCK_CHARS)).cast("int")
     place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    few, many = blocks(F.col("others")), blocks(F.col("n") - F.col("others"))
-    small, main = F.col("n") <= BLOCK, F.col("root") == F.col("top")
-    rows = rows.withColumn("own", F.when(small, 0).when(main, few + place(many)).otherwise(place(few)))
+    sized = sized.withColumns({"mains": F.col("n") - F.col("others"), "main_chars": F.col("chars") - F.col("other_chars")})
+    sized = sized.withColumns({"few": blocks("others", "other_chars"), "many": blocks("mains", "main_chars")})
+    few, many, small = F.col("few"), F.col("many"), (F.col("n") <= BLOCK) & (F.col("chars") <= BLOCK_CHARS)
+    own = F.when(small, 0).when(main, few + place(many)).otherwise(place(few))
     partners = F.when(small, 1).when(main, few).otherwise(few + many)
-    pairs = F.transform(F.sequence(F.lit(0), partners - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
-    return cut(rows.withColumn("pair", F.explode(pairs)).select("*", "pair.i", "pair.j").drop("pair", "n", "top", "others"))
+    content = F.struct("id", *(c for c in rows.columns if c not in ("band", "id", "n", "top")))
+    packs = sized.groupBy("band", own.alias("own"), partners.alias("partners")).agg(F.sort_array(F.collect_list(content)).alias("members"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("partners") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
+    return packs.withColumn("pair", F.explode(pairs)).select("band", "pair.i", "pair.j", "own", "members")
+
+
+def unpacked(batch: pa.RecordBatch) -> pa.Table:
+    """The members of rows of ``blocks_of``, a row each, with band, i, j and own."""
+    members = batch.column("members")
+    sizes = members.value_lengths().to_numpy(zero_copy_only=False)
+    inner = members.flatten()
+    columns = {f.name: inner.field(k) for k, f in enumerate(inner.type)}
+    return pa.table(columns | {c: pa.array(np.repeat(batch.column(c).to_numpy(), sizes)) for c in ("band", "i", "j", "own")})
 
 
 def compared(rows: DataFrame, out: T.StructType, compare) -> DataFrame:
-    """``compare(block)``, an iterator of batches, of each whole block (band, i, j) of ``rows``; a task holds one block at a time."""
+    """``compare(table)``, an iterator of batches, of the members of each pair of blocks (band, i, j) of ``rows``, which come from blocks_of; a task holds one pair at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # the block that is not yet whole
+        held: list[pa.Table] = []  # the blocks of a pair that may not yet be whole
         last = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("band", "i", "j")], 1)
-            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if held and tuple(keys[a]) != last:
-                    yield from compare(pa.Table.from_batches(held))
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                key = tuple(row.column(c)[0].as_py() for c in ("band", "i", "j"))
+                if held and key != last:
+                    yield from compare(pa.concat_tables(held))
                     held = []
-                held.append(batch.slice(a, b - a))
-                last = tuple(keys[a])
+                held.append(unpacked(row))
+                last = key
         if held:
-            yield from compare(pa.Table.from_batches(held))
+            yield from compare(pa.concat_tables(held))
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j", "id").mapInArrow(run, out)
+    return rows.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j", "own").mapInArrow(run, out)
 
 
 class Block:
@@ -263,7 +280,7 @@ EDGE = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.Bi
 
 
 def sure_forest(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) that span the pairs of a band with different roots and an estimate of SURE or more, from ``rows`` (band, id, root, slots, own, i, j)."""
+    """Edges (a, b) that span the pairs of a band with different roots and an estimate of SURE or more, from blocks whose members have slots."""
     schema = to_arrow_schema(EDGE)
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -275,8 +292,8 @@ def sure_forest(rows: DataFrame) -> DataFrame:
 
 
 def undecided(rows: DataFrame, least: float) -> DataFrame:
-    """Those of ``rows`` (band, i, j, id) that have a partner with another root and an estimate of ``least`` or more in their pair of blocks."""
-    schema = T.StructType([rows.schema[c] for c in ("band", "i", "j", "id")])
+    """(band, id) of the members of blocks that have a partner with another root and an estimate of ``least`` or more in their band."""
+    schema = T.StructType([T.StructField("band", T.LongType()), T.StructField("id", T.BinaryType())])
     arrow = to_arrow_schema(schema)
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -287,11 +304,11 @@ def undecided(rows: DataFrame, least: float) -> DataFrame:
         if found:
             yield from table.select(arrow.names).take(pa.array(sorted(found))).cast(arrow).to_batches()
 
-    return cut(compared(rows, schema, compare))
+    return cut(compared(rows, schema, compare).distinct())
 
 
 def verified_within(rows: DataFrame) -> DataFrame:
-    """Links (a, b) that join all classes of a pair of blocks which links of similarity SIMILARITY join, from ``rows`` with text."""
+    """Links (a, b) that join all classes of a pair of blocks which links of similarity SIMILARITY join, from blocks whose members have slots and text."""
     schema = to_arrow_schema(EDGE)
 
     def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -383,15 +400,13 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     roots = components(links)
     last = apart(banded, roots)
     if not last.isEmpty():
-        more = linked(sure_forest(blocks_of(last).join(classes, "id")))
+        more = linked(sure_forest(blocks_of(last.join(classes, "id"))))
         links = cut(links.unionByName(more).distinct())
         roots = components(links)
-        last = blocks_of(apart(last.select("band", "id"), roots))
-        rough = undecided(last.join(classes, "id"), FLOOR)
+        rough = undecided(blocks_of(apart(last.select("band", "id"), roots).join(classes, "id")), FLOOR)
         fine = cut(fine_slots(texts.join(rough.select("id").distinct(), "id", "left_semi")))
-        last = cut(last.join(rough, ["band", "i", "j", "id"], "left_semi").join(fine, "id"))
-        close = undecided(last, FINE_FLOOR)
-        more = cut(verified_within(last.join(close, ["band", "i", "j", "id"], "left_semi").join(texts, "id")))
+        close = undecided(blocks_of(apart(rough, roots).join(fine, "id")), FINE_FLOOR)
+        more = cut(verified_within(blocks_of(apart(close, roots).join(fine, "id").join(texts, "id"))))
         if not more.isEmpty():
             roots = components(links.unionByName(more).distinct())
     member = drawn.groupBy("words", "key.id").agg(F.min("key.text_hash").alias("text_hash"))

@@ -156,6 +156,28 @@ def test_pairs_inside_a_family_of_templates(spark, monkeypatch):
         assert got == {k: k - k % 2 for k in range(600)}
 
 
+def test_blocks_hand_on_classes_once(spark, monkeypatch):
+    """All pairs of different roots meet once, and rows do not grow with classes times blocks."""
+    monkeypatch.setattr(probminhash, "BLOCK", 32)
+    n, text = 1200, "x" * 100
+    root = lambda k: 0 if k % 3 else k
+    rows = [(7, k.to_bytes(2), root(k).to_bytes(2), n, bytes(2), text) for k in range(n)] + [(8, k.to_bytes(2), k.to_bytes(2), 5, bytes(2), text) for k in range(5)]
+    df = spark.createDataFrame(rows, "band long, id binary, root binary, n long, top binary, text string")
+    got = probminhash.blocks_of(df).collect()
+    assert len(got) < 2000  # a row for each class and partner block were some 26 000
+    pairs = defaultdict(list)
+    for x in got:
+        pairs[x["band"], x["i"], x["j"]].append((x["own"], [int.from_bytes(m["id"]) for m in x["members"]]))
+    met = Counter()
+    for (band, i, j), blocks in pairs.items():
+        members = [(own, k) for own, ids in blocks for k in ids]
+        met.update((band, *sorted((a, b))) for q, (o, a) in enumerate(members) for p, b in members[:q] if i == j or o != p)
+    assert set(met.values()) == {1}
+    assert all((7, a, b) in met for b in range(n) for a in range(b) if root(a) != root(b)) and all((8, a, b) in met for b in range(5) for a in range(b))
+    monkeypatch.setattr(probminhash, "BLOCK_CHARS", 400)
+    assert max(len(x["members"]) for x in probminhash.blocks_of(df).collect()) < 25
+
+
 # --- op5 ---
 
 
