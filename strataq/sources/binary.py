@@ -83,15 +83,23 @@ def universal_blocks(df: DataFrame, path: str = "path", content: str = "content"
 
 
 def block_grep(df: DataFrame, query: str, path: str = "path", content: str = "content", block: int = 2 << 20) -> DataFrame:
-    """path, block_id, hits: occurrences of the query as UTF-8 and as UTF-16LE. A block reads on past its end by the length of the query, so no occurrence is missed or counted twice."""
+    """path, block_id, hits: occurrences of the query as UTF-8 and as UTF-16LE. A block reads on past its end by the length of the query, so no occurrence is missed or counted twice.
+
+    Every file has a block at least: an empty one has block 0 without hits, one whose content is null has block 0 with null.
+    """
     needles = [query.encode(), query.encode("utf-16-le")]
 
+    def counts(data) -> list[int | None]:
+        if data is None:
+            return [None]
+        data = bytes(data)
+        starts = [m.start() for n in needles if n for m in re.finditer(re.escape(n), data)]
+        return np.bincount(np.array(starts, np.int64) // block, minlength=max(1, -(-len(data) // block))).tolist()
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for name, data in zip(part["path"], part["content"], strict=True):
-                data = bytes(data or b"")
-                starts = [m.start() for n in needles if n for m in re.finditer(re.escape(n), data)]
-                hits = np.bincount(np.array(starts, np.int64) // block, minlength=-(-len(data) // block))
-                yield pd.DataFrame({"path": name, "block_id": np.arange(len(hits)), "hits": hits.astype(np.int64)})
+            rows = [(name, k, n) for name, data in zip(part["path"], part["content"], strict=True) for k, n in enumerate(counts(data))]
+            names, blocks, hits = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pd.DataFrame({"path": pd.Series(names, dtype="object"), "block_id": np.array(blocks, np.int64), "hits": pd.array(hits, "Int64")})
 
     return df.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(run, "path string, block_id long, hits long")

@@ -41,3 +41,18 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_gives_rows(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def same_on(spark, name, tmp_path, **tables):
+    """Whether a query and its SQL agree on tables of the caller's own."""
+    own = duckdb.connect()
+    for t, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        own.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    df, want = catalog.QUERIES[name](spark, str(tmp_path)), own.sql(catalog.SQL[name])
+    return rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
+
+
+def test_block_grep_keeps_empty_and_null_texts_and_rows_of_one_id(spark, tmp_path):
+    texts = [(1, ""), (2, None), (3, "a License, License"), (3, "License"), (4, "none"), (None, "License")]
+    assert same_on(spark, "block_grep", tmp_path, documents=spark.createDataFrame(texts, "doc_id long, text string"))
