@@ -2,8 +2,8 @@
 
 A leaf is SHA-256 over a zero byte and three length-prefixed fields: column
 name, exact zone as canonical JSON, values as canonical JSON. Values have to be
-hashed in row order; each column is one group and its values are fed to the
-digest in chunks, so a task holds a chunk at a time.
+hashed in row order: rows are sorted in ranges, many tasks write their values
+as packed pieces, and one task a column feeds the pieces to the digest.
 """
 
 from __future__ import annotations
@@ -11,12 +11,14 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.encode import canonical_json
 
@@ -119,51 +121,72 @@ def commit_jsonl(data: bytes | str) -> Commitment:
     return commit_records([json.loads(line) for line in text.split("\n") if line.strip()])
 
 
+#: Rows and bytes of JSON that a task sorts.
+RANGE_ROWS, RANGE_BYTES = 1 << 19, 64 << 20
+
+
 def column_leaves(df: DataFrame, order: str) -> DataFrame:
     """name and leaf (hex) of each column but ``order``: the order column only gives the order.
 
-    A leaf is a hash over all values in row order, so a column is one task; it
-    holds a batch at a time. What the hash needs in front (zone, length of the
-    values as JSON) comes from an aggregate over all rows before.
+    A leaf is a hash over all values in row order, so the digest of a column is
+    one task. Rows get their order in ranges of RANGE_ROWS rows or RANGE_BYTES
+    bytes; there a batch of a column becomes a packed piece of JSON, and the task
+    of a column sorts and unpacks pieces only, one at a time. What the hash needs
+    in front (zone, length of the values as JSON) comes from aggregates over all
+    rows before.
     """
     columns = [c for c in df.columns if c != order]
-    # to_json writes a null field as nothing; a one-element array keeps it.
-    cells = df.select(F.col(order).alias("__order"), F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.to_json(F.array(F.col(f"`{c}`"))).alias("cell")) for c in columns))).alias("x")).select("__order", "x.*")
-
-    def text(cell: str) -> str:
-        return canonical_json(json.loads(cell)[0])
-
-    def sizes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            told = part.assign(bytes=[len(text(c).encode()) for c in part["cell"]])
-            yield told.groupby("name", as_index=False)["bytes"].sum()
-
-    measured = {r["name"]: r["bytes"] for r in cells.select("name", "cell").mapInPandas(sizes, "name string, bytes long").groupBy("name").agg(F.sum("bytes").alias("bytes")).collect()}  # one row per column
     zones = table_zones(df.select(*(F.col(f"`{c}`") for c in columns)))
-    heads = {}
+    # to_json writes a null field as nothing; a one-element array keeps it.
+    cells = df.select(F.col(f"`{order}`").alias("__order"), *(F.to_json(F.array(F.col(f"`{c}`"))).alias(f"cell{k}") for k, c in enumerate(columns)))
+
+    def texts(column: pa.Array) -> bytes:
+        """The values of a column of a batch as canonical JSON, with commas between."""
+        return canonical_json([x[0] for x in json.loads(f"[{','.join(column.to_pylist())}]")])[1:-1].encode()
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [0] * len(columns)
+        for batch in batches:
+            for k in range(len(columns)) if batch.num_rows else ():
+                sums[k] += len(texts(batch.column(k))) - batch.num_rows + 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(columns)), pa.int32()), pa.array(sums, pa.int64())], ["k", "bytes"])
+
+    found = cells.drop("__order").mapInArrow(sizes, "k int, bytes long").groupBy("k").agg(F.sum("bytes").alias("bytes")).collect() if columns else []  # one row per column
+    measured = {columns[r["k"]]: r["bytes"] for r in found}
+    heads = []
     for c in columns:
         z = canonical_json(zones[c]).encode()
         n = measured.get(c, 0) + max(zones[c]["count"] - 1, 0) + 2
-        heads[c] = b"\0" + prefixed(c.encode()) + prefixed(z) + length_prefix(n) + b"["
-
-    def digest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, state = None, None
-        done = lambda: pd.DataFrame({"name": [name], "leaf": [(state.update(b"]"), state.hexdigest())[1]]})
-        for part in parts:
-            for n, rows in part.groupby("name", sort=False)["cell"]:  # sorted by name before: one run each
-                if n != name:
-                    if name is not None:
+        heads.append(b"\0" + prefixed(c.encode()) + prefixed(z) + length_prefix(n) + b"[")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A piece per column and batch; rows of one order value share a range, so its first value and its number in the range give its place."""
+        for n, batch in enumerate(b for b in batches if b.num_rows):
+            first = pa.concat_arrays([batch.column(0)[:1]] * len(columns))
+            packed = pa.array([zlib.compress(texts(batch.column(k + 1)), 1) for k in range(len(columns))], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(columns)), pa.int32()), first, pa.array([n] * len(columns), pa.int64()), packed], ["k", "first", "n", "packed"])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, state = None, None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([columns[k]]), pa.array([(state.update(b"]"), state.hexdigest())[1]])], ["name", "leaf"])
+        for batch in batches:
+            for own, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # sorted by column: one run each
+                if own != k:
+                    if k is not None:
                         yield done()
-                    name, state, first = n, hashlib.sha256(heads[n]), True
-                state.update((("" if first else ",") + ",".join(map(text, rows))).encode())
-                first = False
-        if name is not None:
+                    k, state = own, hashlib.sha256(heads[own])
+                else:
+                    state.update(b",")
+                state.update(zlib.decompress(packed.as_py()))
+        if k is not None:
             yield done()
 
-    found = cells.repartition("name").sortWithinPartitions("name", "__order").select("name", "cell").mapInPandas(digest, "name string, leaf string")
     if zones and all(z["count"] for z in zones.values()):
-        return found
-    empty = [(c, hashlib.sha256(heads[c] + b"]").hexdigest()) for c in columns]
+        n_ranges = max(-(-zones[columns[0]]["count"] // RANGE_ROWS), -(-sum(measured.values()) // RANGE_BYTES))
+        made = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("first", df.schema[order].dataType), T.StructField("n", T.LongType()), T.StructField("packed", T.BinaryType())])
+        parts = cells.repartitionByRange(n_ranges, "__order").sortWithinPartitions("__order").mapInArrow(pieces, made)
+        return parts.repartitionById(len(columns), F.col("k")).sortWithinPartitions("k", "first", "n").select("k", "packed").mapInArrow(digest, "name string, leaf string")
+    empty = [(c, hashlib.sha256(head + b"]").hexdigest()) for c, head in zip(columns, heads, strict=True)]
     return df.sparkSession.createDataFrame(empty, "name string, leaf string")
 
 

@@ -290,6 +290,17 @@ def test_leaves_of_a_table_equal_those_of_its_records(spark):
     assert len(commit.commit(df.limit(0), "row_id").leaves) == 6
 
 
+def test_leaves_sort_packed_pieces_and_not_the_rows_of_a_column(spark, monkeypatch):
+    df = spark.createDataFrame([(k * 7919 % 3001, k % 3, None if k % 5 == 0 else f"é{k}") for k in range(3001)], "row_id long, a int, s string")
+    rows = [{"a": r["a"], "s": r["s"]} for r in df.orderBy("row_id").collect()]
+    monkeypatch.setattr(commit, "RANGE_ROWS", 400)
+    leaves = commit.column_leaves(df.repartition(5), "row_id")
+    assert {r["name"]: r["leaf"] for r in leaves.collect()} == dict(commit.commit_records(rows).leaves)
+    # The last sort, of a whole column, has packed pieces and no cells.
+    last = next(x for x in leaves._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Sort [" in x)
+    assert "first" in last and "__order" not in last
+
+
 def test_profiles_by_format(spark):
     def mode(values, form):
         return profile.smart_modes(numbered(spark, values, "string").select("v"), form).first()["mode"]
