@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -21,7 +23,7 @@ def _unpivot(row: DataFrame, columns: list[str], fields: list[str]) -> DataFrame
     return row.select(F.explode(F.array(*items)).alias("x")).select("x.*")
 
 
-def as_text(column: str, kind: str) -> F.Column:
+def as_text(column: str, kind: str) -> Column:
     """One text form for bounds of any type; doubles with two decimals."""
     c = F.col(f"`{column}`")
     return F.round(c, 2).cast("decimal(18,2)").cast("string") if kind in ("double", "float") else c.cast("string")
@@ -73,10 +75,45 @@ def may_hold(zone: dict, value: str) -> bool:
     return number != number or high != high or low <= number <= high  # NaN orders above all
 
 
+#: Values that a task holds while distinct ones are counted.
+CELLS = 1 << 19
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """How many distinct values each column has, exactly; null is no value. Runs at once: one number per column.
+
+    All columns are folded together as (column, value). Values are dealt out by
+    hash to as many tasks as keep one near CELLS values, first together with a
+    part of the row's hash, so that a frequent value is folded in many tasks,
+    then alone.
+    """
+    if not columns:
+        return {}
+    # Floats as their text, which is one to one: Spark compares others of their forms (zeros, NaN) in another exchange.
+    values = {c: (F.col(f"`{c}`") + F.lit(0.0).cast(kind)).cast("string") if kind in REAL else F.col(f"`{c}`") for c, kind in df.dtypes if c in columns}
+    kinds = dict(df.select(*(v.alias(c) for c, v in values.items())).dtypes)
+    slots = list(dict.fromkeys(kinds[c] for c in columns))
+    key = ["column", *(f"v{j}" for j in range(len(slots)))]
+    parts = max(1, -(-df.count() * len(columns) // CELLS))
+    cells = F.array(*(F.struct(F.lit(k).alias("column"), *((values[c] if kinds[c] == slot else F.lit(None).cast(slot)).alias(f"v{j}") for j, slot in enumerate(slots))) for k, c in enumerate(columns)))
+    rows = df.select(F.pmod(F.xxhash64(*values.values()), F.lit(parts)).alias("part"), F.explode(cells).alias("x")).select("part", "x.*").where(reduce(or_, (F.col(v).isNotNull() for v in key[1:])))
+    folded = rows.repartition(parts, "part", *key).distinct().select(*key).repartition(parts, *key).distinct()
+    found = {r["column"]: r["n"] for r in folded.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {c: found.get(k, 0) for k, c in enumerate(columns)}
+
+
+def distinct_values(df: DataFrame, columns: list[str], approximate: bool) -> Callable[[str], Column]:
+    """The number of distinct values of a column, for use among the aggregates of ``df``."""
+    if approximate:
+        return lambda c: F.approx_count_distinct(F.col(f"`{c}`"))
+    found = distinct_counts(df, columns)
+    return lambda c: F.lit(found[c]).cast("long")
+
+
 def cardinality(df: DataFrame, approximate: bool = False) -> DataFrame:
     """column, n, distinct, constant; null is no value."""
-    count = F.approx_count_distinct if approximate else F.countDistinct
-    aggregates = [a for c in df.columns for a in (F.count(f"`{c}`").alias(f"{c}__n"), count(f"`{c}`").alias(f"{c}__distinct"), (F.min(f"`{c}`") == F.max(f"`{c}`")).alias(f"{c}__constant"))]
+    distinct = distinct_values(df, df.columns, approximate)
+    aggregates = [a for c in df.columns for a in (F.count(f"`{c}`").alias(f"{c}__n"), distinct(c).alias(f"{c}__distinct"), (F.min(f"`{c}`") == F.max(f"`{c}`")).alias(f"{c}__constant"))]
     return _unpivot(df.agg(*aggregates), df.columns, ["n", "distinct", "constant"])
 
 
@@ -86,7 +123,7 @@ def encoding_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     empty, float64, delta_int, suffix (eight values or more, one prefix, a number
     behind, which is a run without gaps or repeats), iso, dict1, dict2, raw, complex.
     """
-    count = F.approx_count_distinct if approximate else F.countDistinct
+    distinct_of = distinct_values(df, [c for c, kind in df.dtypes if kind == "string"], approximate)
     aggregates = []
     for c, kind in df.dtypes:
         v = F.col(f"`{c}`")
@@ -96,9 +133,9 @@ def encoding_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
         elif kind in ("float", "double"):
             mode = F.when(some == 0, "empty").otherwise("float64")
         elif kind == "string":
+            distinct = distinct_of(c)
             prefix, digits = F.regexp_extract(v, SUFFIX, 1), F.regexp_extract(v, SUFFIX, 2).try_cast("long")
-            numbered = (some >= 8) & (F.count(F.when(v.rlike("[0-9]$"), 1)) == some) & (F.min(prefix) == F.max(prefix)) & (F.max(digits) - F.min(digits) == some - 1) & (count(v) == some)
-            distinct = count(v)
+            numbered = (some >= 8) & (F.count(F.when(v.rlike("[0-9]$"), 1)) == some) & (F.min(prefix) == F.max(prefix)) & (F.max(digits) - F.min(digits) == some - 1) & (distinct == some)
             mode = (
                 F.when(some == 0, "empty").when(F.coalesce(numbered, F.lit(False)), "suffix").when(F.min(is_iso(v)), "iso").when((distinct < 256) & (some > 10), "dict1").when((distinct < 65536) & (some > 10), "dict2").otherwise("raw")
             )

@@ -301,6 +301,19 @@ def test_leaves_sort_packed_pieces_and_not_the_rows_of_a_column(spark, monkeypat
     assert "first" in last and "__order" not in last
 
 
+def test_distinct_values_are_folded_in_parts(spark, monkeypatch):
+    nan = float("nan")
+    rows = [(k % 7, None if k % 3 else f"s{k}", (0.0, -0.0, nan, 1.5, None)[k % 5], "x", None) for k in range(900)]
+    df = spark.createDataFrame(rows, "`a.b` int, s string, x double, c string, none long")
+    monkeypatch.setattr(profile, "CELLS", 500)
+    want = {"a.b": 7, "s": 300, "x": 3, "c": 1, "none": 0}
+    assert profile.distinct_counts(df, df.columns) == want
+    got = {r["column"]: (r["n"], r["distinct"], r["constant"]) for r in profile.cardinality(df).collect()}
+    assert got == {"a.b": (900, 7, False), "s": (300, 300, False), "x": (720, 3, False), "c": (900, 1, True), "none": (0, 0, None)}
+    # No row of all columns for each distinct aggregate.
+    assert not any("Expand" in profile.__dict__[f](df.select("s", "c"))._jdf.queryExecution().toString() for f in ("cardinality", "encoding_profile"))
+
+
 def test_profiles_by_format(spark):
     def mode(values, form):
         return profile.smart_modes(numbered(spark, values, "string").select("v"), form).first()["mode"]
