@@ -221,10 +221,12 @@ def smart_modes(df: DataFrame, form: str) -> DataFrame:
     Numbers with leading zeros or beyond 18 digits, which a delta would not give back, stay raw. Nulls are no values.
     """
     share, number, addresses = SMART[form]
+    texts = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns))
+    distinct_of = distinct_values(texts, df.columns, False)
     aggregates = []
     for c in df.columns:
         v = F.col(f"`{c}`").cast("string")
-        n, distinct = F.count(v), F.countDistinct(v)
+        n, distinct = F.count(v), distinct_of(c)
         all_are = lambda pattern: F.count(F.when(v.rlike(pattern), 1)) == F.count(v)  # noqa: B023, E731
         mode = F.when(n == 0, "empty").when((n > 1) & (F.min(v) == F.max(v)), "constant")
         if addresses:

@@ -314,6 +314,15 @@ def test_distinct_values_are_folded_in_parts(spark, monkeypatch):
     assert not any("Expand" in profile.__dict__[f](df.select("s", "c"))._jdf.queryExecution().toString() for f in ("cardinality", "encoding_profile"))
 
 
+@pytest.mark.parametrize("form", sorted(profile.SMART))
+def test_smart_modes_fold_distinct_values_in_parts(spark, form, monkeypatch):
+    df = spark.createDataFrame([(f"a{k}", f"b{k % 255}", f"c{k % 256}", "x", None) for k in range(2000)], "many string, few string, edge string, one string, none string")
+    monkeypatch.setattr(profile, "CELLS", 1000)
+    modes = profile.smart_modes(df, form)
+    assert dict(map(tuple, modes.collect())) == {"many": "raw", "few": "dictionary", "edge": "raw", "one": "constant", "none": "empty"}
+    assert "Expand" not in modes._jdf.queryExecution().toString()
+
+
 def test_profiles_by_format(spark):
     def mode(values, form):
         return profile.smart_modes(numbered(spark, values, "string").select("v"), form).first()["mode"]
