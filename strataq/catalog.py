@@ -467,9 +467,11 @@ HOLDING = "SELECT count(DISTINCT doc_id // 50) AS holding, 0 AS missed FROM docu
 
 def _missed(spark, d, fixed):
     """Blocks that hold the token, and how many of them the Bloom filters would have skipped."""
-    tokens = index.token_index(table(spark, d, "documents"), "doc_id", "text", 50)
-    found = index.bloom_candidates(index.blooms_of(tokens, fixed=fixed), "license").withColumn("candidate", F.lit(1))
-    return tokens.where("token = 'license'").select("block_id").join(found, "block_id", "left").agg(F.count(F.lit(1)).alias("holding"), F.count(F.when(F.col("candidate").isNull(), 1)).cast("int").alias("missed"))
+    docs = table(spark, d, "documents")
+    blooms = index.bloom_index(docs, "doc_id", "text", 50, fixed=fixed)
+    found = index.bloom_candidates(blooms, "license").withColumn("candidate", F.lit(1))
+    holding = index.token_index(docs, "doc_id", "text", 50).where("token = 'license'").select("block_id")
+    return holding.join(found, "block_id", "left").agg(F.count(F.lit(1)).alias("holding"), F.count(F.when(F.col("candidate").isNull(), 1)).cast("int").alias("missed"))
 
 
 @query(HOLDING)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,12 @@ def token_index(df: DataFrame, key: str, text: str, block_size: int) -> DataFram
     return df.select(F.floor(F.col(key) / block_size).cast("long").alias("block_id"), F.explode(tokens(F.col(text))).alias("token")).distinct()
 
 
+def token_sets(df: DataFrame, key: str, text: str, block_size: int) -> DataFrame:
+    """block_id and tokens, the distinct ones of a block as an array. The tokens of a text move once, to its block."""
+    own = df.select(F.floor(F.col(key) / block_size).cast("long").alias("block_id"), tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
+    return own.repartition("block_id").groupBy("block_id").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+
+
 def gate_applies(query: str, pattern: str = WORD) -> bool:
     return re.fullmatch(pattern, query) is not None
 
@@ -83,30 +90,57 @@ def rule_index(parsed: DataFrame, form: str, key: str, block_size: int) -> DataF
 
 
 def blooms_of(tokens: DataFrame, rate: float = 0.01, fixed: tuple[int, int] | None = None) -> DataFrame:
-    """block_id, m, k and bits (sorted places of the set ones): a Bloom filter of the tokens (block_id, token) of each block.
+    """Bloom filters, as ``blooms_of_sets``, of the tokens (block_id, token) of each block."""
+    return blooms_of_sets(tokens.repartition("block_id").groupBy("block_id").agg(F.collect_list("token").alias("tokens")), rate, fixed)
+
+
+def blooms_of_sets(sets: DataFrame, rate: float = 0.01, fixed: tuple[int, int] | None = None) -> DataFrame:
+    """block_id, m, k and bits (sorted places of the set ones): a Bloom filter of the tokens (block_id, tokens) of each block.
 
     Sizes follow from the number of tokens of each block and ``rate``; ``fixed``
-    gives all filters the same (bits, probes).
+    gives all filters the same (bits, probes). A block is one row all the way:
+    its places are made inside the row.
     """
-    if fixed:
-        m, k = F.lit(fixed[0]).cast("long"), F.lit(fixed[1])
-    else:
-        n = F.greatest(F.col("n"), F.lit(10))
-        m = F.greatest(F.lit(64), F.ceil(n * (-math.log(rate) / math.log(2) ** 2))).cast("long")
-        k = F.greatest(F.lit(1), F.floor(m / n * math.log(2)).cast("int"))
-    sizes = tokens.groupBy("block_id").agg(F.count(F.lit(1)).alias("n")).select("block_id", m.alias("m"), k.alias("k"))
-    places = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: place(F.col("token"), j, F.col("m")))
-    return tokens.join(sizes, "block_id").select("block_id", "m", "k", F.explode(places).alias("bit")).groupBy("block_id", "m", "k").agg(F.array_sort(F.collect_set("bit")).alias("bits"))
+
+    def m_of(tokens: Column) -> Column:
+        n = F.greatest(F.size(tokens).cast("long"), F.lit(10))
+        return F.lit(fixed[0]).cast("long") if fixed else F.greatest(F.lit(64), F.ceil(n * (-math.log(rate) / math.log(2) ** 2))).cast("long")
+
+    def k_of(tokens: Column, m: Column) -> Column:
+        n = F.greatest(F.size(tokens).cast("long"), F.lit(10))
+        return F.lit(fixed[1]) if fixed else F.greatest(F.lit(1), F.floor(m / n * math.log(2)).cast("int"))
+
+    def filter_of(tokens: Column, m: Column, k: Column) -> Column:
+        probes = F.sequence(F.lit(0), k - 1)
+        seeds = F.transform(tokens, lambda t: F.struct(*(s.alias(f"s{i}") for i, s in enumerate(seeds_of(t, m)))))
+        bits = F.flatten(F.transform(seeds, lambda s: F.transform(probes, lambda j: place_of(s["s0"], s["s1"], j, m))))
+        return F.struct(m.alias("m"), k.alias("k"), F.array_sort(F.array_distinct(bits)).alias("bits"))
+
+    made = bound(F.col("tokens"), lambda t: bound(m_of(t), lambda m: bound(k_of(t, m), lambda k: filter_of(t, m, k))))
+    return sets.select("block_id", F.inline(F.array(made)))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: the optimizer writes the expression of a plain column into inner lambdas, which compute it for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def seeds_of(token: Column, m: Column) -> tuple[Column, Column]:
+    return F.pmod(F.xxhash64(token), m), F.pmod(F.xxhash64(F.lit("second"), token), m)
+
+
+def place_of(first: Column, second: Column, k: Column, m: Column) -> Column:
+    return F.pmod(first + k * second, m)
 
 
 def place(token: Column, k: Column, m: Column) -> Column:
     """Place of probe ``k`` among ``m`` bits, by double hashing."""
-    return F.pmod(F.pmod(F.xxhash64(token), m) + k * F.pmod(F.xxhash64(F.lit("second"), token), m), m)
+    return place_of(*seeds_of(token, m), k, m)
 
 
-def bloom_index(df: DataFrame, key: str, text: str, block_size: int, rate: float = 0.01) -> DataFrame:
-    """Bloom filters of the words of each block, sized by their number."""
-    return blooms_of(token_index(df, key, text, block_size), rate)
+def bloom_index(df: DataFrame, key: str, text: str, block_size: int, rate: float = 0.01, fixed: tuple[int, int] | None = None) -> DataFrame:
+    """Bloom filters of the words of each block, sized by their number or ``fixed``."""
+    return blooms_of_sets(token_sets(df, key, text, block_size), rate, fixed)
 
 
 #: The fixed form: 4096 bytes and two probes.

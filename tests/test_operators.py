@@ -281,6 +281,23 @@ def test_bloom_filters_miss_nothing_and_rarely_err(spark):
         blooms.unpersist()
 
 
+def test_bloom_filters_are_made_inside_the_row_of_a_block(spark):
+    docs = spark.createDataFrame([(k, None if k == 7 else f"word{k % 4} Same{k} same{k} ab") for k in range(40)] + [(400, "a b")], "id long, t string")
+    for fixed in (None, (64, 2)):
+        blooms = index.bloom_index(docs, "id", "t", 10, fixed=fixed)
+        got = {r["block_id"]: (r["m"], r["k"], r["bits"]) for r in blooms.collect()}
+        words = {}
+        for b, t in index.token_index(docs, "id", "t", 10).collect():
+            words.setdefault(b, []).append(t)
+        assert set(got) == set(words) == {0, 1, 2, 3}
+        for b, (m, k, bits) in got.items():
+            assert (m, k) == (fixed or index.bloom_size(len(words[b])))
+            each = spark.createDataFrame([(w, j) for w in words[b] for j in range(k)], "w string, j long")
+            assert bits == sorted({r[0] for r in each.select(index.place(F.col("w"), F.col("j"), F.lit(m).cast("long"))).collect()})
+        plan = blooms._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("RepartitionBy") == 1
+
+
 def test_leaves_of_a_table_equal_those_of_its_records(spark):
     rows = [{"i": k, "s": None if k % 7 == 0 else f"v{k}é\"", "x": k / 3, "b": k % 2 == 0, "l": [k, None], "none": None} for k in range(500)]
     df = spark.createDataFrame([(k, r["i"], r["s"], r["x"], r["b"], r["l"], None) for k, r in enumerate(rows)], "row_id long, i long, s string, x double, b boolean, l array<long>, none string")
